@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op4_packing
 from .secrets import op2_secret_scan
+from .token_files import op5_token_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan,)}
+    return {f.__name__: f for f in (op2_secret_scan, op4_packing, op5_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
