@@ -42,24 +42,60 @@ def priced(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
-def generated_patterns(demand: np.ndarray, room: int, gap: float = 2e-4, most: int = 20_000) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often the linear program uses them; demand[w] counts items of w units. Stops at a relative gap."""
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row exchanges, in plain array operations: a BLAS thread pool can hang in a process that forked
+    a JVM."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        best = i + int(np.argmax(np.abs(both[i:, i])))
+        both[[i, best]] = both[[best, i]]
+        both[i] /= both[i, i]
+        factors = both[:, i].copy()
+        factors[i] = 0
+        both -= factors[:, None] * both[i]
+    return both[:, n:]
+
+
+def greedy_basis(sizes: np.ndarray, need: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis: the largest sizes that fit, used until one of them is spent; triangular in that order."""
+    left, m = need.copy(), len(sizes)
+    patterns, used, open_ = np.zeros((m, m)), np.zeros(m), np.ones(m, bool)
+    for t in range(m):
+        free = room
+        for i in np.flatnonzero(open_)[::-1]:
+            n = min(free // sizes[i], max(1, int(left[i])))
+            patterns[i, t], free = n, free - n * sizes[i]
+        held = patterns[:, t] > 0
+        spent = np.flatnonzero(held)[np.argmin(left[held] / patterns[held, t])]
+        used[t] = left[spent] / patterns[spent, t]
+        left = np.maximum(left - used[t] * patterns[:, t], 0)
+        left[spent], open_[spent] = 0, False
+    return patterns, used
+
+
+def generated_patterns(demand: np.ndarray, room: int, gap: float = 1e-3, most: int = 1_500) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often the linear program uses them; demand[w] counts items of w units.
+
+    Stops once the total is within one sequence, or a relative gap, of a lower bound (of the dual, or of what the items
+    fill), or after `most` columns: any basis on the way is a feasible plan.
+    """
     sizes = np.flatnonzero(demand)
     if not len(sizes):
         return []
     need = demand[sizes].astype(float)
-    patterns = np.diag((room // sizes).astype(float))
-    inverse, used = np.diag(1 / np.diag(patterns)), need / np.diag(patterns)
+    patterns, used = greedy_basis(sizes, need, room)
+    inverse, filled = inverted(patterns), float((need * sizes).sum()) / room
     for turn in range(most):
         dual = inverse.sum(axis=0)
         value = np.zeros(room + 1)
         value[sizes] = np.maximum(dual, 0)
         worth, pattern = priced(value, room)
         total = used.sum()
-        if worth <= 1 + 1e-9 or dual @ need / worth >= total * (1 - gap):
+        if worth <= 1 + 1e-9 or total - max(filled, (dual * need).sum() / worth) <= max(1, gap * total):
             break
         column = pattern[sizes].astype(float)
-        move = inverse @ column
+        move = (inverse * column).sum(axis=1)
         able = move > 1e-9
         leaving = int(np.argmin(np.where(able, used / np.where(able, move, 1), np.inf)))
         amount = used[leaving] / move[leaving]
@@ -70,7 +106,7 @@ def generated_patterns(demand: np.ndarray, room: int, gap: float = 2e-4, most: i
         inverse -= np.outer(move, row)
         inverse[leaving] = row
         if turn % 500 == 499:
-            inverse = np.linalg.inv(patterns)
+            inverse = inverted(patterns)
     out = []
     for j in np.flatnonzero(used > 1e-9):
         whole = np.zeros(room + 1, int)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if not getattr(context, "_larkspur_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(target))
+        context._larkspur_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
