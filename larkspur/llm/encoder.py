@@ -31,7 +31,7 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder(dict):
     """Maps a unit of text to its ids as little-endian unsigned 32-bit integers; holds at most `units` of them."""
 
-    def __init__(self, path: str, units: int = 500_000):
+    def __init__(self, path: str, units: int = 1_000_000):
         super().__init__()
         self.tokenizer, self.units = Tokenizer.from_file(path), units
         self.tokenizer.encode_special_tokens = True
@@ -58,7 +58,7 @@ class Encoder(dict):
                 pieces = [word.lower(), marks]
             else:
                 pieces = [space + word, marks] if word else [space + marks]
-            ids = [t.id for p in pieces if p for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.table))]
+            ids = [t.id for p in pieces if p for t in self.model.tokenize(p.replace(" ", self.table[32]) if p.isascii() else p.encode().decode("latin-1").translate(self.table))]
         self[unit] = out = array("I", ids).tobytes()
         return out
 
