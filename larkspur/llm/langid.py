@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from . import shared
 
 MARK = "▁"  # the vocabulary's mark of a word's start
+OUTSIDE = -14.0  # log probability of a character that no piece covers
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def vocabulary(name: str = "piece_bpe_32k.model", longest: int = 6) -> dict[str, int]:
+def vocabulary(name: str = "piece_bpe_32k.model", longest: int = 5) -> dict[str, int]:
     """Pieces of a public vocabulary of up to `longest` characters, lower-cased, numbered in the vocabulary's order."""
     import sentencepiece
 
@@ -100,9 +101,9 @@ def expected(found: np.ndarray, lengths: np.ndarray, weight: np.ndarray, logs: n
 
 
 def words_of(text: str, longest_word: int = 24) -> list[str]:
-    """Runs of letters, lower-cased and marked, longer ones cut into parts of longest_word characters."""
+    """Runs of letters of a text, lower-cased and marked, longer ones cut into parts of longest_word characters."""
     out = []
-    for w in NOT_LETTERS.sub(" ", text.lower()).split():
+    for w in [text] if text.isalpha() and text.islower() else NOT_LETTERS.sub(" ", text.lower()).split():
         if len(w) <= longest_word:
             out.append(MARK + w)
         else:
@@ -111,44 +112,59 @@ def words_of(text: str, longest_word: int = 24) -> list[str]:
 
 
 class Model:
-    def __init__(self, languages: list[str], logs: np.ndarray, pieces: dict[str, int], longest: int, outside: float = -14.0, cached: int = 300_000):
+    """Scores texts; caches the log-likelihoods of at most about `cached` white-space separated tokens."""
+
+    def __init__(self, languages: list[str], logs: np.ndarray, pieces: dict[str, int], longest: int, outside: float = OUTSIDE, cached: int = 700_000):
         self.languages, self.logs, self.pieces, self.longest, self.outside, self.cached = languages, logs, pieces, longest, outside, cached
+        self.forget()
+
+    def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.values = np.zeros((0, len(languages)))
+        self.values = np.zeros((0, len(self.languages) + 1))
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Log-likelihoods, words by languages."""
-        unseen = sorted({w for w in words if w not in self.rows}, key=len)
-        if unseen:
-            if len(self.rows) + len(unseen) > self.cached:
-                self.rows.clear()
-                self.values = self.values[:0]
-                unseen = sorted(set(words), key=len)
-            segments, parts = Segments(self.pieces, self.longest), [self.values]
-            for i in range(0, len(unseen), 4000):
-                some = unseen[i : i + 4000]
-                found, lengths = segments.of(some)
-                parts.append(forward(found, lengths, self.logs, self.outside))
-                for w in some:
-                    self.rows[w] = len(self.rows)
-            self.values = np.concatenate(parts)
-        return self.values[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+    def learn(self, tokens: set[str]) -> None:
+        """Caches the sums over each token's words by language, and in a last column the number of its words."""
+        parts = {t: words_of(t) for t in tokens}
+        words = sorted({w for ws in parts.values() for w in ws}, key=len)
+        segments, place, values = Segments(self.pieces, self.longest), {w: i for i, w in enumerate(words)}, [np.zeros((0, len(self.languages)))]
+        for i in range(0, len(words), 4000):
+            values.append(forward(*segments.of(words[i : i + 4000]), self.logs, self.outside))
+        known = np.concatenate(values)
+        flat = np.array([place[w] for ws in parts.values() for w in ws], np.int64)
+        owner = np.repeat(np.arange(len(parts)), [len(ws) for ws in parts.values()])
+        sums = np.zeros((len(parts), len(self.languages) + 1))
+        np.add.at(sums[:, :-1], owner, known[flat])
+        np.add.at(sums[:, -1], owner, 1)
+        self.rows.update(zip(parts, range(len(self.rows), len(self.rows) + len(parts)), strict=True))
+        self.values = np.concatenate([self.values, sums])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of each text and its posterior probability under equal priors."""
         languages, scores = ["und"] * len(texts), [0.0] * len(texts)
-        some = [(i, w) for i, t in enumerate(texts) if t and self.languages and (w := words_of(t)) and any(x.isalpha() for y in w for x in y)]
-        if some:
-            bounds = np.cumsum([0, *(len(w) for _, w in some)])[:-1]
-            sums = np.add.reduceat(self.words([x for _, w in some for x in w]), bounds, axis=0)
-            best = sums.argmax(axis=1)
-            share = np.exp(sums - sums.max(axis=1, keepdims=True))
-            share /= share.sum(axis=1, keepdims=True)
-            for j, (i, _) in enumerate(some):
+        some = [(i, t.lower().split()) for i, t in enumerate(texts) if t and not t.isspace()] if self.languages else []
+        if not some:
+            return languages, scores
+        flat = [w for _, ws in some for w in ws]
+        found = list(map(self.rows.get, flat))
+        unseen = {w for w, r in zip(flat, found, strict=True) if r is None}
+        if len(self.rows) + len(unseen) > self.cached:
+            self.forget()
+            unseen, found = set(flat), [None] * len(flat)
+        if unseen:
+            self.learn(unseen)
+            found = [self.rows[w] if r is None else r for w, r in zip(flat, found, strict=True)]
+        sums = np.add.reduceat(self.values[np.array(found)], np.cumsum([0, *(len(ws) for _, ws in some)])[:-1], axis=0)
+        words, sums = sums[:, -1], sums[:, :-1]
+        best = sums.argmax(axis=1)
+        share = np.exp(sums - sums.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        for j, (i, _) in enumerate(some):
+            if words[j]:
                 languages[i], scores[i] = self.languages[best[j]], float(share[j, best[j]])
         return languages, scores
 
 
-def trained(labelled: DataFrame, bound: int = 4_000, rounds: int = 3, longest: int = 6, distinct: int = 20_000) -> Model:
+def trained(labelled: DataFrame, bound: int = 4_000, rounds: int = 3, longest: int = 5, distinct: int = 10_000) -> Model:
     """Fits on about `bound` rows (text, lang, doc_id), chosen by a hash of doc_id; lang and text are not null.
 
     Words are counted by language in Spark; of each language's words the `distinct` most frequent of the sample take part.
@@ -181,7 +197,7 @@ def trained(labelled: DataFrame, bound: int = 4_000, rounds: int = 3, longest: i
         logs = np.full(len(pieces) + 1, -np.log(len(pieces)))
         logs[-1] = -np.inf
         for _ in range(rounds):
-            counts = sum(expected(*part, logs, -14.0) for part in parts) + 0.05
+            counts = sum(expected(*part, logs, OUTSIDE) for part in parts) + 0.05
             logs[:-1] = np.log(counts / counts.sum())
         columns.append(logs)
     return Model(languages, np.stack(columns, axis=1) if columns else np.zeros((len(pieces) + 1, 0)), pieces, longest)
