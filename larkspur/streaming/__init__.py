@@ -1,0 +1,2 @@
+"""Streams: the dialect is for batches only; a stream enters through foreachBatch and Engine.insert or the DataFrame
+operators, all of which take any DataFrame of a micro-batch."""
