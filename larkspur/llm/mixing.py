@@ -102,6 +102,11 @@ def copies_by_size(sizes: DataFrame, sources: DataFrame, most: int, mends: int =
         some = some.withColumn("_pick", F.max(F.when(fits, F.col("size"))).over(w))
         change = F.least(room, F.floor(F.abs("_gap") / F.col("size"))) * F.signum("_gap").cast("long")
         some = some.withColumn("copies", F.when(F.col("size") == F.col("_pick"), F.col("copies") + change).otherwise(F.col("copies")))
+    # one copy more or less of the smallest size that is above the gap, but brings the words nearer
+    some = some.withColumn("_gap", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(w))
+    room = F.when(F.col("_gap") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies"))
+    some = some.withColumn("_pick", F.min(F.when((room > 0) & (F.col("size") >= F.abs("_gap")) & (F.col("size") < 2 * F.abs("_gap")), F.col("size"))).over(w))
+    some = some.withColumn("copies", F.when(F.col("size") == F.col("_pick"), F.col("copies") + F.signum("_gap").cast("long")).otherwise(F.col("copies")))
     return some.select("source", "size", "n", "target", "total", F.col("copies").cast("long").alias("copies"))
 
 
@@ -128,7 +133,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", total_factor
     counted = counted.join(plan, same(counted, plan)).drop(plan["source"]).drop(plan["size"])
     inner = F.row_number().over(Window.partitionBy("source", "size", "_part").orderBy("_hash"))
     ranked = parts.withColumn("_row", inner)
-    out = ranked.join(counted, same(ranked, counted) & (ranked["_part"] == counted["_part"]), "left").drop(counted["source"]).drop(counted["size"])
+    # names of its own for the other side: both come from one table, so their columns could not be told apart
+    counted = counted.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_part").alias("_of"), "_base", "n", "copies")
+    out = ranked.join(counted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_part") == F.col("_of")), "left")
     rank = F.col("_base") + F.col("_row") - 1
     # copies // n for all, one more for the first copies % n
     taken = F.floor(F.col("copies") / F.col("n")) + (rank < F.col("copies") % F.col("n")).cast("long")
