@@ -144,6 +144,7 @@ def made_page(seed: int) -> list[tuple[str, str, int, bool]]:
     pick = lambda xs: xs[int(draw.integers(len(xs)))]
     word = lambda: "".join(pick(SYLLABLES) for _ in range(int(draw.integers(1, 5))))
     said = lambda low, high, end=".": " ".join(word() for _ in range(int(draw.integers(low, high)))).capitalize() + end
+    ended = lambda: pick((".", ".", ".", "!", "?", ":", "", ""))
     link = lambda: f'<a href="/{word()}">{said(1, 4, "")}</a>'
 
     def part(kind: str, tags: tuple[str, ...], inside: str) -> str:
@@ -154,7 +155,7 @@ def made_page(seed: int) -> list[tuple[str, str, int, bool]]:
 
     def paragraphs(n: int, low: int, high: int, mark: str = "") -> str:
         closed = draw.random() < 0.8
-        return "".join(f"<p>{mark}{said(low, high) if draw.random() > 0.15 else said(1, 3)}{' ' + link() + said(2, 9) if mark and draw.random() < 0.15 else ''}{'</p>' if closed else ''}" for _ in range(n))
+        return "".join(f"<p>{mark}{said(low, high, ended()) if draw.random() > 0.15 else said(1, 4, ended())}{' ' + link() + said(2, 9) if mark and draw.random() < 0.15 else ''}{'</p>' if closed else ''}" for _ in range(n))
 
     plain = lambda low=2, high=14: said(low, high) if draw.random() < 0.5 else paragraphs(int(draw.integers(1, 3)), low, high)
     menu = lambda n: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(n)) + "</ul>"
@@ -168,7 +169,7 @@ def made_page(seed: int) -> list[tuple[str, str, int, bool]]:
     for _ in range(int(draw.integers(1, 5))):
         body += paragraphs(int(draw.integers(1, 6)), 3, int(draw.integers(10, 120)), mark)
         body += (f"<h2>{mark}{said(1, 7, '')}</h2>") * int(draw.random() < 0.3)
-        body += ("<ul>" + "".join(f"<li>{mark}{said(3, 20)}</li>" for _ in range(3)) + "</ul>") * int(draw.random() < 0.15)
+        body += ("<ul>" + "".join(f"<li>{mark}{said(3, 20, ended())}</li>" for _ in range(3)) + "</ul>") * int(draw.random() < 0.15)
         body += f"<blockquote>{mark}{said(5, 40)}</blockquote>" * int(draw.random() < 0.12)
         body += part("ad", ("div", "aside"), plain(3, 15)) * int(draw.random() < 0.15)
         body += part("aside", ("aside", "div"), plain(3, 15) + menu(3)) * int(draw.random() < 0.1)
