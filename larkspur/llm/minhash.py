@@ -1,12 +1,18 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Documents with equal shingle sets form a class, found by aggregation over a hash of the set; the class's smallest doc_id
-stands for it. Signatures are cut into bands; representatives that share a band are candidates. In a first pass each
-bucket compares its members with its smallest one. Buckets whose members are then in several components have their other
-pairs compared in a second pass: the members of the smallest one's component are dealt into parts of bounded size, the
-others go to every part, and a streaming task compares arrays of signatures, so that pairs are never emitted. Either way
-signatures are compared batch by batch, and a pair is dropped once the posterior probability (uniform prior) that its
-similarity reaches the threshold is below the chosen miss probability. Survivors are verified on full shingle sets.
+stands for it. Signatures are cut into bands; representatives that share a band are candidates. Three passes verify them:
+
+1. each representative with the smallest one that it shares a band with;
+2. in buckets whose members are then in several components, each member outside of the main component with its likeliest
+   partner from another component;
+3. in buckets that still hold several components, all pairs of different components, each in the first band it shares.
+
+In passes 2 and 3 the members of a bucket's main component are dealt into parts of bounded size, the others go to every
+part, and a streaming task compares arrays of signatures, so that a group's pairs are never emitted: those within one
+component need no look. Signatures are compared batch by batch, and a pair is dropped once the posterior probability
+(uniform prior) that its similarity reaches the threshold is below the chosen miss probability. Survivors are verified on
+full shingle sets.
 
 Defined results: a null text and one without words have no shingles and link with nothing; a text of fewer than `width`
 words has one shingle, the whole; repeated rows with one doc_id are one class and both are kept rows of it; null doc_ids
@@ -136,17 +142,21 @@ def survivors(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough: 100 * intersection >= PERCENT * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and the set's bytes of the wanted documents (one column, doc_id); the texts are shuffled once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "set"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "set"])
 
-    sets = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, set binary")
-    sets = shared.written(sets, "sets")
+    return docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, set binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough: 100 * intersection >= PERCENT * union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -164,88 +174,99 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return shared.written(both.mapInArrow(compare, "a long, b long"), "links")
 
 
-def crossed(rows: DataFrame) -> DataFrame:
-    """Surviving pairs (a, b) of different components within a part of a bucket.
+def crossed(rows: DataFrame, best: bool) -> DataFrame:
+    """Surviving pairs (a, b) of different components within a part of a bucket: of each member outside of the main
+    component the likeliest one, or all, each in the first band that the pair shares.
 
-    rows: bucket, part, main (of the first member's component), doc_id, component, signature; streamed in order of bucket,
-    part, others first. Others are compared with each other in the part that their pair's smaller id names.
+    rows: bucket, part, main (of the first member's component), doc_id, component, signature, n_parts, place; streamed in
+    order of bucket, part, others first. Others are compared with each other in the part that the smaller id names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, others, n_parts = None, None, 1
+        key, others = None, None
 
-        def pairs(ids, comps, sigs, ids2, comps2, sigs2, own: bool) -> pa.RecordBatch | None:
+        def pairs(left: tuple, right: tuple, place: int, ordered: bool) -> pa.RecordBatch | None:
             out = []
-            for i in range(len(ids)):
-                able = comps2 != comps[i]
-                if own:
-                    able &= ids2 > ids[i]
+            for i, comp, sig in zip(*left, strict=True):
+                able = right[1] != comp
+                if ordered and not best:
+                    able &= right[0] > i
                 at = np.flatnonzero(able)
-                at = at[likely(np.broadcast_to(sigs[i], (len(at), HASHES)), sigs2[at])] if len(at) else at
-                out += [(min(ids[i], j), max(ids[i], j)) for j in ids2[at]]
+                if len(at):
+                    at = at[likely(np.broadcast_to(sig, (len(at), HASHES)), right[2][at])]
+                if len(at) and best:
+                    at = at[[int((right[2][at] == sig).sum(axis=1).argmax())]]
+                elif len(at):
+                    shared_bands = (right[2][at] == sig).reshape(-1, BANDS, ROWS).all(axis=2)
+                    at = at[shared_bands.argmax(axis=1) == place]
+                out += [(min(i, j), max(i, j)) for j in right[0][at]]
             return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"]) if out else None
 
         for whole in batches:
-            bucket, part, main, doc, comp, sig, n_parts = (whole.column(i) for i in range(7))
+            bucket, part, main, doc, comp, sig, n_parts, places = (whole.column(i) for i in range(8))
             keys = np.stack([bucket.to_numpy(), part.to_numpy(), main.to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), whole.num_rows]
             ids, comps = doc.to_numpy(), comp.to_numpy()
             sigs = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(-1, HASHES)
             for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
                 now, is_main = tuple(keys[x, :2]), bool(keys[x, 2])
                 if now != key:
                     key, others = now, None
-                here = (ids[x:y], comps[x:y], sigs[x:y])
+                here, place, n = (ids[x:y], comps[x:y], sigs[x:y]), int(places[x].as_py()), int(n_parts[x].as_py())
                 if is_main:
-                    found = [pairs(*others, *here, False)] if others is not None else []
+                    found = [pairs(others, here, place, False)] if others is not None else []
                 else:
-                    mine = np.array([i % int(n_parts[x].as_py()) == now[1] for i in here[0]])
-                    own = tuple(c[mine] for c in here)
-                    found = [pairs(*own, *here, True)]
+                    own = tuple(c[here[0] % n == now[1]] for c in here)
+                    found = [pairs(own, here, place, True)]
                     if others is not None:  # the others came in several batches
-                        theirs = np.array([i % int(n_parts[x].as_py()) == now[1] for i in others[0]])
-                        low = [pairs(*(c[theirs] for c in others), *here, True), pairs(*own, *others, True)]
-                        found += low
+                        before = tuple(c[others[0] % n == now[1]] for c in others)
+                        found += [pairs(before, here, place, True), pairs(own, others, place, True)]
                     others = here if others is None else tuple(np.concatenate(z) for z in zip(others, here, strict=True))
                 yield from (f for f in found if f is not None)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def open_buckets(members: DataFrame, found: DataFrame, reps: DataFrame, part_size: int) -> DataFrame:
+    """Rows for crossed(): the members of buckets that hold several components."""
+    placed = members.join(found, members["doc_id"] == found["node"], "left").select("bucket", "place", "n", "first", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = shared.written(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("doc_id") == F.col("first"), F.col("component"))).alias("main_component")).filter("low < high")
+    open_ = placed.join(mixed.select("bucket", "main_component"), "bucket").withColumn("main", F.col("component") == F.col("main_component"))
+    parts = F.ceil(F.col("n") / part_size).cast("long")
+    own, every = F.array(F.pmod(F.col("doc_id"), F.col("n_parts"))), F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)
+    dealt = open_.withColumn("n_parts", parts).withColumn("part", F.explode(F.when(F.col("main"), own).otherwise(every)))
+    rows = dealt.join(reps, "doc_id").select("bucket", "part", "main", "doc_id", "component", "signature", "n_parts", "place")
+    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "main")
+
+
 def linked(docs: DataFrame, text: str = "text", part_size: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     cut = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("text"))
-    sets = shared.written(signed(cut), "signatures")
-    whole = sets.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
+    signed_docs = shared.written(signed(cut), "signatures")
+    whole = signed_docs.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = whole.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"))
     classes = shared.written(classes, "classes")
     reps = classes.select(F.col("class_id").alias("doc_id"), "signature")
 
     # bands: the same 4 minima in the same place; the place is part of the key
     keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(signature, {i * ROWS * 4 + 1}, {ROWS * 4})")) for i in range(BANDS)])
-    bands = reps.select("doc_id", F.explode(keys).alias("bucket"))
+    bands = reps.select("doc_id", F.posexplode(keys).alias("place", "bucket"))
     buckets = bands.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     members = shared.written(bands.join(buckets, "bucket"), "members")
-    pairs = members.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = verified(shared.written(survivors(pairs, reps), "survivors"), cut)
+    sets = shared.written(shingle_sets(cut, members.select("doc_id").distinct()), "sets")
 
-    # buckets with members of several components
-    found = components(links)
-    placed = members.join(found, members["doc_id"] == found["node"], "left").select("bucket", "n", "first", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = shared.written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("doc_id") == F.col("first"), F.col("component"))).alias("main_component")).filter("low < high")
-    open_ = placed.join(mixed.select("bucket", "main_component"), "bucket").withColumn("main", F.col("component") == F.col("main_component"))
-    parts = F.ceil(F.col("n") / part_size).cast("long")
-    dealt = open_.withColumn("n_parts", parts).withColumn("part", F.explode(F.when(F.col("main"), F.array(F.pmod(F.col("doc_id"), F.col("n_parts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))))
-    rows = dealt.join(reps, "doc_id").select("bucket", "part", "main", "doc_id", "component", "signature", "n_parts")
-    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "main")
-    more = shared.written(crossed(rows).distinct(), "survivors")
-    # the first pass compared pairs with a bucket's first member already, but comparing them again does no harm
-    links = links.unionByName(verified(more, cut))
+    pairs = members.groupBy("doc_id").agg(F.min("first").alias("first")).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    links = verified(survivors(pairs, reps), sets)
+    for best in (True, False):
+        more = crossed(open_buckets(members, components(links), reps, part_size), best).distinct()
+        links = links.unionByName(verified(shared.written(more, "survivors"), sets))
     found = components(links)
 
     by_class = classes.join(found, classes["class_id"] == found["node"], "left").select("n_shingles", "set_hash", F.coalesce("component", "class_id").alias("component_id"))
-    out = sets.join(by_class, ["n_shingles", "set_hash"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = signed_docs.join(by_class, ["n_shingles", "set_hash"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
