@@ -6,7 +6,9 @@ stands for it. Signatures are cut into bands; representatives that share a band
 1. each representative with the smallest one that it shares a band with;
 2. in buckets whose members are then in several components, each member outside of the main component with its likeliest
    partner from another component;
-3. in buckets that still hold several components, all pairs of different components, each in the first band it shares.
+3. in buckets that still hold several components, all pairs of different components, each in the first band it shares;
+   a bucket of more than LARGE members brings its shingle sets along and verifies at once, so that what leaves it is at
+   most one link for each component that it joins to another.
 
 In passes 2 and 3 the members of a bucket's main component are dealt into parts of bounded size, the others go to every
 part, and a streaming task compares arrays of signatures, so that a group's pairs are never emitted: those within one
@@ -36,6 +38,7 @@ from .components import components
 WIDTH, BANDS, ROWS = 5, 32, 4
 HASHES, BATCH = BANDS * ROWS, 32
 PERCENT, MISS = 75, 1e-6
+LARGE = 32
 MIX1, MIX2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,6 +130,13 @@ def likely(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return alive
 
 
+def close(x: bytes, y: bytes) -> bool:
+    """Whether two sets, as bytes, are similar enough: 100 * intersection >= PERCENT * union."""
+    left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= PERCENT * (len(left) + len(right) - both)
+
+
 def survivors(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) that survive."""
     sig = signatures.select("doc_id", "signature")
@@ -163,9 +173,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch, keep = whole.slice(at, 256), []
                 for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                    left, right = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                    both = len(np.intersect1d(left, right, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(left) + len(right) - both):
+                    if close(x.as_py(), y.as_py()):
                         keep.append(i)
                 keep = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
@@ -178,16 +186,31 @@ def crossed(rows: DataFrame, best: bool) -> DataFrame:
     """Surviving pairs (a, b) of different components within a part of a bucket: of each member outside of the main
     component the likeliest one, or all, each in the first band that the pair shares.
 
-    rows: bucket, part, main (of the first member's component), doc_id, component, signature, n_parts, place; streamed in
-    order of bucket, part, others first. Others are compared with each other in the part that the smaller id names.
+    rows: bucket, part, main (of the first member's component), doc_id, component, signature, n_parts, place, set (of large
+    buckets, whose pairs are verified here until their components meet; else null); streamed in order of bucket, part,
+    others first. Others are compared with each other in the part that the smaller id names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, others = None, None
+        key, others, parent = None, None, {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        def meets(comp: int, mine: bytes, comps: np.ndarray, sets: np.ndarray) -> list[int]:
+            """Places whose sets are close to mine, one for each component that is not yet joined to mine."""
+            out = []
+            for k, (c, theirs) in enumerate(zip(comps.tolist(), sets, strict=True)):
+                if root(c) != root(comp) and close(mine, theirs):
+                    parent[root(c)] = root(comp)
+                    out.append(k)
+            return out
 
         def pairs(left: tuple, right: tuple, place: int, ordered: bool) -> pa.RecordBatch | None:
             out = []
-            for i, comp, sig in zip(*left, strict=True):
+            for i, comp, sig, own_set in zip(*left, strict=True):
                 able = right[1] != comp
                 if ordered and not best:
                     able &= right[0] > i
@@ -199,22 +222,25 @@ def crossed(rows: DataFrame, best: bool) -> DataFrame:
                 elif len(at):
                     shared_bands = (right[2][at] == sig).reshape(-1, BANDS, ROWS).all(axis=2)
                     at = at[shared_bands.argmax(axis=1) == place]
+                    if own_set is not None:
+                        at = at[meets(int(comp), own_set, right[1][at], right[3][at])]
                 out += [(min(i, j), max(i, j)) for j in right[0][at]]
             return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"]) if out else None
 
         for whole in batches:
-            bucket, part, main, doc, comp, sig, n_parts, places = (whole.column(i) for i in range(8))
+            bucket, part, main, doc, comp, sig, n_parts, places, sets = (whole.column(i) for i in range(9))
             keys = np.stack([bucket.to_numpy(), part.to_numpy(), main.to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), whole.num_rows]
             ids, comps = doc.to_numpy(), comp.to_numpy()
-            sigs = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(-1, HASHES)
+            sigs, held = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(-1, HASHES), np.array([*sets.to_pylist(), None], object)[:-1]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if x == y:
                     continue
                 now, is_main = tuple(keys[x, :2]), bool(keys[x, 2])
                 if now != key:
                     key, others = now, None
-                here, place, n = (ids[x:y], comps[x:y], sigs[x:y]), int(places[x].as_py()), int(n_parts[x].as_py())
+                    parent.clear()
+                here, place, n = (ids[x:y], comps[x:y], sigs[x:y], held[x:y]), int(places[x].as_py()), int(n_parts[x].as_py())
                 if is_main:
                     found = [pairs(others, here, place, False)] if others is not None else []
                 else:
@@ -229,8 +255,8 @@ def crossed(rows: DataFrame, best: bool) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def open_buckets(members: DataFrame, found: DataFrame, reps: DataFrame, part_size: int) -> DataFrame:
-    """Rows for crossed(): the members of buckets that hold several components."""
+def open_buckets(members: DataFrame, found: DataFrame, reps: DataFrame, sets: DataFrame | None, part_size: int) -> DataFrame:
+    """Rows for crossed(): the members of buckets that hold several components, with the sets of large ones if given."""
     placed = members.join(found, members["doc_id"] == found["node"], "left").select("bucket", "place", "n", "first", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     placed = shared.written(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("doc_id") == F.col("first"), F.col("component"))).alias("main_component")).filter("low < high")
@@ -238,7 +264,13 @@ def open_buckets(members: DataFrame, found: DataFrame, reps: DataFrame, part_siz
     parts = F.ceil(F.col("n") / part_size).cast("long")
     own, every = F.array(F.pmod(F.col("doc_id"), F.col("n_parts"))), F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)
     dealt = open_.withColumn("n_parts", parts).withColumn("part", F.explode(F.when(F.col("main"), own).otherwise(every)))
-    rows = dealt.join(reps, "doc_id").select("bucket", "part", "main", "doc_id", "component", "signature", "n_parts", "place")
+    rows = dealt.join(reps, "doc_id")
+    if sets is None:
+        rows = rows.withColumn("set", F.lit(None).cast("binary"))
+    else:
+        few = rows.filter(F.col("n") <= LARGE).withColumn("set", F.lit(None).cast("binary"))
+        rows = few.unionByName(rows.filter(F.col("n") > LARGE).join(sets, "doc_id"))
+    rows = rows.select("bucket", "part", "main", "doc_id", "component", "signature", "n_parts", "place", "set")
     return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "main")
 
 
@@ -261,7 +293,7 @@ def linked(docs: DataFrame, text: str = "text", part_size: int = 1024) -> DataFr
     pairs = members.groupBy("doc_id").agg(F.min("first").alias("first")).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = verified(survivors(pairs, reps), sets)
     for best in (True, False):
-        more = crossed(open_buckets(members, components(links), reps, part_size), best).distinct()
+        more = crossed(open_buckets(members, components(links), reps, None if best else sets, part_size), best).distinct()
         links = links.unionByName(verified(shared.written(more, "survivors"), sets))
     found = components(links)
 
