@@ -105,11 +105,13 @@ def weighted(counts: np.ndarray) -> np.ndarray:
     """log10 P(byte | context) for all cells: log10 of the product over eight decisions of the mixed probabilities."""
     full = counts.reshape(CLASSES**DEPTH, 256)
     logs = np.zeros((CLASSES**DEPTH, 256), np.float32)
-    for bit in range(8):  # decision `bit` has 2^bit nodes, one for each prefix
-        pairs = full.reshape(-1, 1 << bit, 2, 1 << (7 - bit)).sum(axis=3).astype(np.float64)
+    # decision `bit` has 2^bit nodes, one for each prefix; some nodes at a time, so that the arrays stay small
+    for bit, low, high in [(bit, low, min(low + 16, 1 << bit)) for bit in range(8) for low in range(0, 1 << bit, 16)]:
+        width, nodes = 1 << (8 - bit), high - low
+        pairs = full[:, low * width : high * width].reshape(-1, nodes, 2, width // 2).sum(axis=3).astype(np.float64)
         levels = [pairs]  # depth 3, 2, 1, 0; the farthest class leads, so summing over it gives the shorter context
         for depth in range(DEPTH - 1, -1, -1):
-            levels.append(levels[-1].reshape(CLASSES, CLASSES**depth, 1 << bit, 2).sum(axis=0))
+            levels.append(levels[-1].reshape(CLASSES, CLASSES**depth, nodes, 2).sum(axis=0))
         inside, share = None, []
         for depth, pair in zip(range(DEPTH, -1, -1), levels, strict=True):
             a, b = pair[..., 0], pair[..., 1]
@@ -117,7 +119,7 @@ def weighted(counts: np.ndarray) -> np.ndarray:
             if depth == DEPTH:
                 both, stay = own, None
             else:
-                below = inside.reshape(CLASSES, CLASSES**depth, 1 << bit).sum(axis=0)
+                below = inside.reshape(CLASSES, CLASSES**depth, nodes).sum(axis=0)
                 both = np.logaddexp(own, below) - np.log(2)
                 stay = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
             share.append(stay)
@@ -126,13 +128,13 @@ def weighted(counts: np.ndarray) -> np.ndarray:
         for depth in range(DEPTH + 1):  # from the shortest context: stay there, or pass to the longer one
             pair, stay = levels[DEPTH - depth], share[DEPTH - depth]
             kt = (pair + 0.5) / (pair.sum(axis=-1, keepdims=True) + 1)
-            here = 1.0 if depth == 0 else np.broadcast_to(go, (CLASSES, *go.shape)).reshape(CLASSES**depth, 1 << bit)  # noqa: F821
+            here = 1.0 if depth == 0 else np.broadcast_to(go, (CLASSES, *go.shape)).reshape(CLASSES**depth, nodes)  # noqa: F821
             stop = here if stay is None else here * stay
-            lower = 0.0 if mix is None else np.broadcast_to(mix, (CLASSES, *mix.shape)).reshape(CLASSES**depth, 1 << bit, 2)
+            lower = 0.0 if mix is None else np.broadcast_to(mix, (CLASSES, *mix.shape)).reshape(CLASSES**depth, nodes, 2)
             mix = lower + np.asarray(stop)[..., None] * kt
             go = None if stay is None else here * (1 - stay)  # noqa: F841
         step = np.log10(mix).astype(np.float32)
-        logs += np.repeat(step.reshape(CLASSES**DEPTH, 2 << bit), 1 << (7 - bit), axis=1)
+        logs[:, low * width : high * width] += np.repeat(step.reshape(CLASSES**DEPTH, 2 * nodes), width // 2, axis=1)
     return logs.ravel()
 
 
@@ -143,7 +145,7 @@ def model_of(gathered_cells: DataFrame) -> np.ndarray:
     return weighted(counts)
 
 
-def scored_words(docs: DataFrame, model: np.ndarray, block_bytes: int = 1 << 24) -> DataFrame:
+def scored_words(docs: DataFrame, model: np.ndarray, block_bytes: int = 1 << 23) -> DataFrame:
     """Rows of two kinds, from columns key, text (binary), held_out. For a word of a block: word, train (its count there in
     training documents), posts (number in block * 256 + times, more than 255 times in several entries). For a document: word
     is a blank and two numbers, which no word can be, and doc_id, n_tokens, held_out, score are set."""
