@@ -226,3 +226,14 @@ def similar(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(shared.table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+edges AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.9),
+counts AS (SELECT a, count(*) AS n FROM edges GROUP BY a),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, edges.b FROM reach JOIN edges ON reach.other = edges.a)
+SELECT reach.vec_id, coalesce(any_value(counts.n), 0) AS n_links, min(other) AS component_id, reach.vec_id = min(other) AS kept
+FROM reach LEFT JOIN counts ON counts.a = reach.vec_id GROUP BY reach.vec_id
+"""
