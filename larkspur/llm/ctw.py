@@ -1,15 +1,18 @@
 """Language-model scores by context-tree weighting over bytes, with a unigram baseline over words.
 
-A text is its words, lower-cased and joined by single spaces, and an end byte. A byte's context is the three bytes before
-it, each as one of 32 classes (letters keep their identity). The next byte is decomposed into eight binary decisions; each
-decision has, for every context depth from 0 to 3, a Krichevsky-Trofimov estimate, and the tree's weighted probability
-mixes the depths. Counts of (context, byte) come from all training documents: tasks add up dense arrays and send what is
-not zero, and Spark sums those. There are at most 32^3 * 256 cells, so the model that is broadcast has a fixed bound of
-32 MB whatever the input's size.
+A text is its words, lower-cased and joined by single spaces, and an end byte. A byte's contexts, each refining the one
+before, are nothing; one, two and three bytes before it as one of 32 classes (letters keep their identity); and the four,
+five, six and seven bytes before it as they are. The next byte is decomposed into eight binary decisions; each decision has,
+for every context, a Krichevsky-Trofimov estimate, and the tree's weighted probability mixes all of them.
 
-The baseline needs each word's training count beside each of its documents. Tasks send, for every block of documents, one
-row per distinct word with the documents that hold it; a window by word adds up the counts, and partial sums bring
-log10(count + 1) back to the documents. Rows grow as the input does; a frequent word has one row per block.
+Counts of (seven bytes, byte), a gram, come from all training documents and are kept as a written table that grows with the
+corpus; grams that only held-out documents have stand there with 0. Grams that share the nearest four bytes are in one
+bucket, where the tree below class contexts is weighted; the class contexts, at most 32^3, are weighted in the driver from
+sums over buckets, and go back to the buckets, which give every gram its log10 probability.
+
+Each block of documents sends one row per distinct word and per distinct gram with the documents that hold it; a window by
+word or gram adds up the words' counts and finds the grams' probabilities, and partial sums bring both back to the
+documents. Rows grow as the input does; a frequent word or gram has one row per block.
 
 Defined results: a null or empty text has no words, only the end; repeated rows are separate documents that all count; a
 null doc_id counts as empty text in the fold; an empty table gives an empty result; other columns are ignored.
@@ -30,6 +33,10 @@ from . import shared
 
 DEPTH, CLASSES, END = 3, 32, b"\n"
 CELLS = CLASSES**DEPTH * 256
+#: Lengths of the contexts of bytes as they are; a gram is the longest of them and the next byte, the nearest bytes lowest.
+LENGTHS = (4, 5, 6, 7)
+#: Begins the name of a gram among words; no word has white space.
+GRAM = b"\n"
 
 
 def class_table() -> bytes:
@@ -75,22 +82,33 @@ def parts_of(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator
                 first, total = i + 1, 0
 
 
+def grams_of(texts: list[bytes]) -> np.ndarray:
+    """Gram of every byte of the texts; before a text stands white space."""
+    far = LENGTHS[-1]
+    data = np.frombuffer(b"".join(b" " * far + t for t in texts), np.uint8)
+    out = np.zeros(len(data), np.uint64)
+    for back in range(far, -1, -1):
+        out <<= np.uint64(8)
+        out[back:] |= data[: len(data) - back]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + far
+    inside = np.ones(len(data), bool)
+    inside[((np.cumsum(sizes) - sizes)[:, None] + np.arange(far)).ravel()] = False
+    return out[inside]
+
+
 def gathered(docs: DataFrame) -> DataFrame:
-    """cell, n: training counts, from columns key, text (binary), held_out."""
+    """gram, n: training counts, 0 for grams of held-out documents alone, from columns key, text (binary), held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
         for _, texts, held in parts_of(batches):
-            train = [b" ".join(normal(t)) + END for t, h in zip(texts, held, strict=True) if not h]
-            if train:
-                starts = np.cumsum([0, *map(len, train)])[:-1]
-                total += np.bincount(cells(b"".join(train), starts), minlength=CELLS)
-        used = np.flatnonzero(total)
-        for i in range(0, len(used), 1 << 17):
-            some = used[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(some.astype(np.int32)), "n": pa.array(total[some])})
+            whole = [b" ".join(normal(t)) + END for t in texts]
+            train = np.repeat(~np.array(held, bool), list(map(len, whole)))
+            grams, place = np.unique(grams_of(whole), return_inverse=True)
+            n = np.bincount(place, train, len(grams)).astype(np.int64)
+            for i in range(0, len(grams), 1 << 17):
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(grams[i : i + (1 << 17)].view(np.int64)), "n": pa.array(n[i : i + (1 << 17)])})
 
-    return docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -101,10 +119,14 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def weighted(counts: np.ndarray) -> np.ndarray:
-    """log10 P(byte | context) for all cells: log10 of the product over eight decisions of the mixed probabilities."""
+def weighted(counts: np.ndarray, deeper: np.ndarray | None = None) -> np.ndarray:
+    """log10 P(byte | context) for all cells: log10 of the product over eight decisions of the mixed probabilities.
+
+    deeper: for a tree that goes on below class contexts, the log weight of what is below, by context and node (a decision's
+    node is 2^bit and the prefix). Then the result has, by context and node, what class contexts add to the probability of
+    0 and of 1, and the share that passes to longer contexts."""
     full = counts.reshape(CLASSES**DEPTH, 256)
-    logs = np.zeros((CLASSES**DEPTH, 256), np.float32)
+    logs = np.zeros((CLASSES**DEPTH, 256) if deeper is None else (CLASSES**DEPTH, 256, 3), np.float32)
     # decision `bit` has 2^bit nodes, one for each prefix; some nodes at a time, so that the arrays stay small
     for bit, low, high in [(bit, low, min(low + 16, 1 << bit)) for bit in range(8) for low in range(0, 1 << bit, 16)]:
         width, nodes = 1 << (8 - bit), high - low
@@ -116,10 +138,10 @@ def weighted(counts: np.ndarray) -> np.ndarray:
         for depth, pair in zip(range(DEPTH, -1, -1), levels, strict=True):
             a, b = pair[..., 0], pair[..., 1]
             own = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
-            if depth == DEPTH:
+            if depth == DEPTH and deeper is None:
                 both, stay = own, None
             else:
-                below = inside.reshape(CLASSES, CLASSES**depth, nodes).sum(axis=0)
+                below = deeper.reshape(-1, 256)[:, (1 << bit) + low : (1 << bit) + high] if depth == DEPTH else inside.reshape(CLASSES, CLASSES**depth, nodes).sum(axis=0)
                 both = np.logaddexp(own, below) - np.log(2)
                 stay = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
             share.append(stay)
@@ -133,69 +155,174 @@ def weighted(counts: np.ndarray) -> np.ndarray:
             lower = 0.0 if mix is None else np.broadcast_to(mix, (CLASSES, *mix.shape)).reshape(CLASSES**depth, nodes, 2)
             mix = lower + np.asarray(stop)[..., None] * kt
             go = None if stay is None else here * (1 - stay)  # noqa: F841
+        if deeper is not None:
+            logs[:, (1 << bit) + low : (1 << bit) + high] = np.concatenate([mix, go[..., None]], axis=-1)
+            continue
         step = np.log10(mix).astype(np.float32)
         logs[:, low * width : high * width] += np.repeat(step.reshape(CLASSES**DEPTH, 2 * nodes), width // 2, axis=1)
-    return logs.ravel()
+    return logs.ravel() if deeper is None else logs.reshape(-1, 3)
 
 
-def model_of(gathered_cells: DataFrame) -> np.ndarray:
-    counts = np.zeros(CELLS, np.int64)
-    found = gathered_cells.toArrow()  # at most CELLS rows
-    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return weighted(counts)
+class Kt:
+    """log of the estimate of a zeros and b ones, by tables where the counts are small."""
 
+    def __init__(self, size: int = 1 << 12):
+        self.size, n = size, np.arange(size, dtype=np.float64)
+        self.half, self.whole = log_gamma(n + 0.5), log_gamma(n + 1) + np.log(np.pi)
 
-def scored_words(docs: DataFrame, model: np.ndarray, block_bytes: int = 1 << 23) -> DataFrame:
-    """Rows of two kinds, from columns key, text (binary), held_out. For a word of a block: word, train (its count there in
-    training documents), posts (number in block * 256 + times, more than 255 times in several entries). For a document: word
-    is a blank and two numbers, which no word can be, and doc_id, n_tokens, held_out, score are set."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "word binary, block long, train long, posts array<int>, doc_id long, held_out boolean, n_tokens long, score double"
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total, top = a + b, self.size - 1
+        out = self.half[np.minimum(a, top)] + self.half[np.minimum(b, top)] - self.whole[np.minimum(total, top)]
+        out[total == 0] = 0.0
+        large = np.flatnonzero(total > top)
+        x, y = a[large].astype(np.float64), b[large].astype(np.float64)
+        out[large] = log_gamma(x + 0.5) + log_gamma(y + 0.5) - log_gamma(x + y + 1) - np.log(np.pi)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, task, number = sent.value, TaskContext.get().partitionId(), count()
-        typed = pa.schema([("word", pa.binary()), ("block", pa.int64()), ("train", pa.int64()), ("posts", pa.list_(pa.int32())), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-        for ids, texts, held in parts_of(batches, block_bytes):
-            block, numbers, ids_of, sizes, scores, size = task * (1 << 24) + next(number), {}, [], [], [], 0
-            give, pending, lengths = numbers.setdefault, [], []
 
-            def score(pending: list[bytes]) -> None:
-                ends = np.cumsum([0, *map(len, pending)])
-                scores.append(np.add.reduceat(logs[cells(b"".join(pending), ends[:-1])], ends[:-1], dtype=np.float64))  # noqa: B023
+def class_contexts(grams: np.ndarray) -> np.ndarray:
+    kinds, out = np.frombuffer(CLASS_OF, np.uint8), np.zeros(len(grams), np.int64)
+    for back in range(DEPTH, 0, -1):
+        out = out * CLASSES + kinds[(grams >> np.uint64(8 * back)).astype(np.uint8)]
+    return out
+
+
+def decisions(grams: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit, of distinct, sorted grams: nodes of class contexts (context * 256 + node) with the log weights of the
+    shortest contexts of bytes below them, and for each gram the probability of its bit below class contexts."""
+    kt, levels, ups = Kt(), [(grams, n)], []
+    for length in LENGTHS[-2::-1]:
+        keys, up = np.unique(levels[-1][0] & np.uint64((1 << 8 * (length + 1)) - 1), return_inverse=True)
+        levels.append((keys, np.bincount(up, levels[-1][1], len(keys)).astype(np.int64)))
+        ups.append(up)
+    for bit in range(8):
+        inside = firsts = rows = None
+        for i, (keys, n_of) in enumerate(levels):  # from the longest context
+            prefix = keys >> np.uint64(8 - bit)
+            first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+            node = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+            one = ((keys >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+            b = np.add.reduceat(np.where(one, n_of, 0), first)
+            a = np.add.reduceat(n_of, first) - b
+            own, taken = kt(a, b), (np.where(one, b[node], a[node]) + 0.5) / (a[node] + b[node] + 1.0)
+            if i == 0:
+                inside, p = own, taken
+            else:
+                # the nodes of the longer context, each by its first gram, under those of this one
+                below = np.bincount(node[ups[i - 1][firsts]], inside, len(first))
+                inside = np.logaddexp(own, below) - np.log(2)
+                rows = ups[i - 1] if rows is None else ups[i - 1][rows]
+                stay = (1 / (1 + np.exp(np.clip(below - own, -700, 700))))[node][rows]
+                p = stay * taken[rows] + (1 - stay) * p
+            firsts = first
+        place = class_contexts(keys[first]) * 256 + (1 << bit) + ((keys[first] & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int64)
+        yield bit, place, inside, p
+
+
+def bucketed(grams: DataFrame, buckets: int) -> DataFrame:
+    nearest = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * LENGTHS[0]) - 1))
+    return grams.withColumn("bucket", F.pmod(F.xxhash64(nearest), F.lit(buckets)))
+
+
+def in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    grams, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def model_of(grams: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class contexts' part of the model, from the table of grams: the cells that its grams use, sorted, and their values."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = in_order(table)
+        names, at = np.unique(class_contexts(keys), return_inverse=True)
+        counts = np.bincount(at * 256 + (keys & np.uint64(255)).astype(np.int64), n)
+        used = np.flatnonzero(counts)
+        out = [pa.table({"cell": pa.array((names[used // 256] * 256 + used % 256).astype(np.int32)), "n": pa.array(counts[used].astype(np.int64)), "deeper": pa.array(np.zeros(len(used)))})]
+        for _, place, inside, _ in decisions(keys, n):
+            cell, at = np.unique(place, return_inverse=True)
+            out.append(pa.table({"cell": pa.array(cell.astype(np.int32)), "n": pa.array(np.zeros(len(cell), np.int64)), "deeper": pa.array(np.bincount(at, inside, len(cell)))}))
+        return pa.concat_tables(out)
+
+    found = bucketed(grams, buckets).groupBy("bucket").applyInArrow(run, "cell int, n long, deeper double")
+    found = found.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("deeper").alias("deeper")).toArrow()  # at most CELLS rows
+    counts, deeper, cell = np.zeros(CELLS, np.int64), np.zeros(CELLS), found.column("cell").to_numpy()
+    counts[cell], deeper[cell] = found.column("n").to_numpy(), found.column("deeper").to_numpy()
+    used = np.unique(cell)
+    return used, weighted(counts, deeper)[used]
+
+
+def probabilities(grams: DataFrame, model: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """word (the gram's name), log: log10 P(byte | context) of every gram of the table."""
+    sent = grams.sparkSession.sparkContext.broadcast(model)
+
+    def run(table: pa.Table) -> pa.Table:
+        (cell, values), (keys, n) = sent.value, in_order(table)
+        context, byte, logs = class_contexts(keys) * 256, (keys & np.uint64(255)).astype(np.int64), np.zeros(len(keys))
+        for bit, _, _, p in decisions(keys, n):
+            top, taken = values[np.searchsorted(cell, context + (1 << bit) + (byte >> (8 - bit)))], byte >> (7 - bit) & 1
+            logs += np.log10(np.where(taken == 1, top[:, 1], top[:, 0]) + top[:, 2].astype(np.float64) * p)
+        return pa.table({"word": named(keys), "log": pa.array(logs)})
+
+    return bucketed(grams, buckets).groupBy("bucket").applyInArrow(run, "word binary, log double")
+
+
+def named(grams: np.ndarray) -> pa.Array:
+    data = np.empty((len(grams), 9), np.uint8)
+    data[:, 0], data[:, 1:] = GRAM[0], grams.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(np.arange(0, 9 * len(grams) + 1, 9, dtype=np.int32)), pa.py_buffer(data)])
+
+
+def posted(flat: np.ndarray, owner: np.ndarray, held: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of names numbered below n and the documents that they stand in: counts in training, posts, bounds of each one's posts."""
+    docs = len(held)
+    keys, times = np.unique(flat * docs + owner, return_counts=True)
+    name, doc = keys // docs, keys % docs
+    train = np.bincount(name, times * ~held[doc], n).astype(np.int64)
+    entries = -(-times // 255)
+    many = np.repeat(np.arange(len(keys)), entries)
+    last = np.r_[np.flatnonzero(np.diff(many)), len(many) - 1] if len(many) else np.zeros(0, int)
+    posts = doc[many] * 256 + 255
+    posts[last] = doc * 256 + times - 255 * (entries - 1)
+    return train, posts, np.r_[0, np.cumsum(np.bincount(name, entries, n).astype(np.int64))]
+
+
+def scored_words(docs: DataFrame, block_bytes: int = 1 << 21) -> DataFrame:
+    """Rows of three kinds, from columns key, text (binary), held_out. For a word of a block: word, train (its count there in
+    training documents), posts (number in block * 256 + times, more than 255 times in several entries). For a gram of a
+    block: word (its name), posts. For a document: word is a blank and two numbers, which no word can be, and doc_id,
+    n_tokens, held_out are set."""
+    schema = "word binary, block long, train long, posts array<int>, doc_id long, held_out boolean, n_tokens long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), count()
+        typed = pa.schema([("word", pa.binary()), ("block", pa.int64()), ("train", pa.int64()), ("posts", pa.list_(pa.int32())), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())])
 
-            for t in texts:
-                words = normal(t)
-                ids_of.append(np.fromiter((give(w, len(numbers)) for w in words), np.int64, len(words)))  # noqa: B023
-                lengths.append(len(words))
-                pending.append(b" ".join(words) + END)
-                size += len(pending[-1])
-                if size > 1 << 21:
-                    score(pending)
-                    pending, size = [], 0
-            if pending:
-                score(pending)
-            n, docs_here = len(numbers), len(texts)
-            flat, owner = np.concatenate(ids_of), np.repeat(np.arange(docs_here), lengths)
-            keys, times = np.unique(flat * docs_here + owner, return_counts=True)
-            word, doc = keys // docs_here, keys % docs_here
-            train = np.bincount(word, times * ~np.array(held, bool)[doc], n).astype(np.int64)
-            entries = -(-times // 255)
-            many = np.repeat(np.arange(len(keys)), entries)
-            last = np.r_[np.flatnonzero(np.diff(many)), len(many) - 1] if len(many) else np.zeros(0, int)
-            posts = doc[many] * 256 + 255
-            posts[last] = doc * 256 + times - 255 * (entries - 1)
-            bounds = np.r_[0, np.cumsum(np.bincount(word, entries, n).astype(np.int64))]
-            names = list(numbers)
-            for i in range(0, n, 50_000):
-                k = min(i + 50_000, n)
+        def sent(names: pa.Array, block: int, train: np.ndarray, posts: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(names), 50_000):
+                k = min(i + 50_000, len(names))
                 a, b = bounds[i], bounds[k]
                 lists = pa.ListArray.from_arrays(pa.array((bounds[i : k + 1] - a).astype(np.int32)), pa.array(posts[a:b].astype(np.int32)))
                 none = [pa.nulls(k - i, t) for t in typed.types[4:]]
-                yield pa.RecordBatch.from_arrays([pa.array(names[i:k], pa.binary()), pa.array(np.full(k - i, block)), pa.array(train[i:k]), lists, *none], schema=typed)
+                yield pa.RecordBatch.from_arrays([names[i:k], pa.array(np.full(k - i, block)), pa.array(train[i:k]), lists, *none], schema=typed)
+
+        for ids, texts, held in parts_of(batches, block_bytes):
+            block, numbers, ids_of, whole = task * (1 << 24) + next(number), {}, [], []
+            give = numbers.setdefault
+            for t in texts:
+                words = normal(t)
+                ids_of.append(np.fromiter((give(w, len(numbers)) for w in words), np.int64, len(words)))
+                whole.append(b" ".join(words) + END)
+            lengths, docs_here, out = list(map(len, ids_of)), len(texts), np.array(held, bool)
+            yield from sent(pa.array(list(numbers), pa.binary()), block, *posted(np.concatenate(ids_of), np.repeat(np.arange(docs_here), lengths), out, len(numbers)))
+            grams, place = np.unique(grams_of(whole), return_inverse=True)
+            _, posts, bounds = posted(place, np.repeat(np.arange(docs_here), list(map(len, whole))), out, len(grams))
+            del place, whole
+            yield from sent(named(grams), block, np.zeros(len(grams), np.int64), posts, bounds)
             own = pa.ListArray.from_arrays(pa.array(np.arange(docs_here + 1, dtype=np.int32)), pa.array((np.arange(docs_here) * 256).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b" %d %d" % (block, i) for i in range(docs_here)], pa.binary()), pa.array(np.full(docs_here, block)), pa.array(np.zeros(docs_here, np.int64)), own,
-                 pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.array(lengths, np.int64) + 1), pa.array(np.concatenate(scores))], schema=typed)
+                 pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.array(lengths, np.int64) + 1)], schema=typed)
 
     return docs.mapInArrow(run, schema)
 
@@ -203,17 +330,21 @@ def scored_words(docs: DataFrame, model: np.ndarray, block_bytes: int = 1 << 23)
 def scored(docs: DataFrame, held_out, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     cut = docs.select(F.col("doc_id").cast("long").alias("key"), F.col(text).cast("binary").alias("text"), held_out.alias("held_out"))
-    rows = scored_words(cut, model_of(gathered(cut)))
+    size = cut.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 22)
+    grams = shared.written(gathered(cut), "grams")
+    logs = probabilities(grams, model_of(grams, buckets), buckets)
+    rows = scored_words(cut).unionByName(logs, allowMissingColumns=True)
     by_word = Window.partitionBy("word")
-    totals = rows.withColumns({"c": F.sum("train").over(by_word), "first": F.min("block").over(by_word)})
-    posts = totals.select("block", "c", "doc_id", "held_out", "n_tokens", "score", F.explode("posts").alias("post"))
+    totals = rows.withColumns({"c": F.sum("train").over(by_word), "first": F.min("block").over(by_word), "log": F.max("log").over(by_word)})
+    posts = totals.select("block", "c", "log", "doc_id", "held_out", "n_tokens", F.explode("posts").alias("post"))
     at, times = F.shiftright("post", 8), F.col("post").bitwiseAND(255)
     log = F.log10(F.col("c") + 1)
-    shares = posts.select("block", at.alias("at"), (times * log).alias("sum"), F.when(F.col("c") > 0, times).otherwise(0).cast("long").alias("known"), "doc_id", "held_out", "n_tokens", "score")
+    shares = posts.select("block", at.alias("at"), (times * log).alias("sum"), F.when(F.col("c") > 0, times).otherwise(0).cast("long").alias("known"), (times * F.coalesce("log", F.lit(0.0))).alias("score"), "doc_id", "held_out", "n_tokens")
     # one extra group counts the distinct words of training: each is counted in the first block that has it
     distinct = totals.filter((F.col("c") > 0) & (F.col("block") == F.col("first"))).select(
-        F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("at"), F.lit(0.0).alias("sum"), F.lit(1).cast("long").alias("known"), *[F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("score", "double"))])
-    sums = shares.unionByName(distinct).groupBy("block", "at").agg(F.sum("sum").alias("sum"), F.sum("known").alias("known"), *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "score")])
+        F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("at"), F.lit(0.0).alias("sum"), F.lit(1).cast("long").alias("known"), F.lit(0.0).alias("score"), *[F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"))])
+    sums = shares.unionByName(distinct).groupBy("block", "at").agg(F.sum("sum").alias("sum"), F.sum("known").alias("known"), F.sum("score").alias("score"), *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")])
     sums = shared.written(sums, "sums")
     words, tokens, ends = sums.agg(F.max(F.when(F.col("block") == -1, F.col("known"))), F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.count(F.when(~F.col("held_out"), 1))).first()
     n, v, end = tokens or 0, (words or 0) + (1 if ends else 0), ends or 0
