@@ -1,10 +1,10 @@
-"""Quality rules: counts over whole texts, and an isolation forest on rule statistics.
+"""Quality rules: counts over whole texts, and isolation forests on rule statistics.
 
-The counts are exact. Repeats and short texts are the base rules' matter; the statistics are those that they leave out.
-The forest is grown on a bounded, hash-chosen sample of documents that pass the base rules, with the usual random splits;
-small samples for each tree keep junk of a few hundredths of all rows from hiding itself. A document's score is
-2^(-mean path length / expected length). The threshold comes from the scores of all labelled rows: it spares nearly all
-of those labelled good and, within that, drops the most labelled bad; it is found on a histogram of fixed size.
+The counts are exact. Each group of statistics has a forest, grown on a bounded, hash-chosen sample of documents that pass
+the base rules, with the usual random splits; small samples for each tree keep junk of a few hundredths of all rows from
+hiding itself. A document's score in a group is 2^(-mean path length / expected length); its anomaly is the greatest. Each
+group's threshold comes from the scores of all labelled rows: it spares nearly all of those labelled good and, within that,
+drops the most labelled bad; it is found on a histogram of fixed size. A group that tells no bad rows has no threshold.
 
 Defined results: a null text has no words and fails the base rules; repeated rows repeat; null labels are ignored and,
 without any labels, only the base rules decide; an empty table gives an empty result; other columns are ignored.
@@ -12,6 +12,7 @@ without any labels, only the base rules decide; an empty table gives an empty re
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from . import shared
 
 WINDOW, SYMBOLS, BINS = 8, b"#*$%&|<>", 1000
-STATISTICS = ("symbol_share", "upper_share", "word_length")
+#: Each group has a forest and a threshold of its own, so that rare junk of one kind isn't lost among the others' splits.
+GROUPS = (("symbol_share", "upper_share", "word_length"), ("same_word_share",), ("dup_line_share", "repeat_share"), ("digit_share", "mark_share"))
+STATISTICS = sum(GROUPS, ())
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -60,17 +63,21 @@ def repeated(words: list[bytes]) -> int:
 
 
 def measured(text: bytes) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and upper-case letters."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the counts behind the other statistics."""
     words = text.split()  # of bytes: exactly the ASCII white space that separates words
     follow = len(text) - len(text.translate(None, bytes(range(0x80, 0xC0))))
     chars = len(text) - follow - (len(text) - len(text.translate(None, WHITE)))
-    lines, dups = set(), 0
+    lines, dups, full = set(), 0, 0
     for line in text.split(b"\n"):
         if line and not line.isspace():
+            full += 1
             dups += line in lines
             lines.add(line)
     count = lambda drop: len(text) - len(text.translate(None, drop))
-    return len(words), chars, count(SYMBOLS), dups, repeated(words), count(bytes(range(65, 91)))
+    return (
+        len(words), chars, count(SYMBOLS), dups, repeated(words), full, sum(map(operator.eq, words, words[1:])),
+        count(bytes(range(65, 91))), count(bytes(range(48, 58))), count(b"!?"),
+    )
 
 
 def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,10 +86,10 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [measured(t or b"") for t in batch.column(1).to_pylist()]
-            table = np.array(rows, np.int64).reshape(len(rows), 6)
-            words, chars, symbols, dups, repeats, upper = table.T
+            table = np.array(rows, np.int64).reshape(len(rows), 10)
+            words, chars, symbols, dups, repeats, lines, same, upper, digits, marks = table.T
             n, c = words + 20.0, chars + 100.0  # shares of short texts are drawn to what is usual
-            stats = np.stack([symbols / c, upper / c, (chars + 110.0) / n], axis=1)
+            stats = np.stack([symbols / c, upper / c, (chars + 110.0) / n, same / n, dups / (lines + 3.0), repeats / n, digits / c, marks / n], axis=1)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1]), pa.int32()), pa.array(stats.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (words, chars, symbols, dups, repeats)), flat], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "stats"])
 
@@ -152,24 +159,30 @@ def judged(counts: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFra
     spark = counts.sparkSession
     passing = counts.filter(~F.col("base_failed"))
     sample = shared.hashed_share(passing, "doc_id", bound, passing.count()).select("stats").toPandas()["stats"]
-    forest = Forest(np.array(sorted(map(tuple, sample)), float).reshape(len(sample), len(STATISTICS)))
-    sent = spark.sparkContext.broadcast(forest)  # 200 trees of at most 127 nodes
+    known = np.array(sorted(map(tuple, sample)), float).reshape(len(sample), len(STATISTICS))
+    parts = np.split(np.arange(len(STATISTICS)), np.cumsum([len(g) for g in GROUPS])[:-1])
+    sent = spark.sparkContext.broadcast([(part, Forest(known[:, part])) for part in parts])  # each of 200 trees of at most 127 nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("stats")
             rows = batch.column(place).flatten().to_numpy().reshape(batch.num_rows, len(STATISTICS))
-            scores = sent.value.score(rows) if sent.value.trees else np.zeros(len(rows))
-            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != place], pa.array(scores)], names=[*[n for n in batch.schema.names if n != "stats"], "anomaly"])
+            scores = np.stack([forest.score(rows[:, part]) if forest.trees else np.zeros(len(rows)) for part, forest in sent.value], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, len(GROUPS)), pa.int32()), pa.array(scores.ravel()))
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != place], lists], names=[*[n for n in batch.schema.names if n != "stats"], "scores"])
 
     kept_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema.fields if f.name != "stats")
-    scored = shared.written(counts.mapInArrow(run, kept_fields + ", anomaly double"), "scored")
+    scored = shared.written(counts.mapInArrow(run, kept_fields + ", scores array<double>"), "scored")
     marked = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    bins = scored.filter(~F.col("base_failed")).join(marked, "doc_id").groupBy("quality", F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).alias("bin")).count()
-    table = np.zeros((2, BINS), np.int64)
-    for quality, at, n in bins.collect():  # at most 2 * BINS rows
-        table[quality, at] = n
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(float(threshold(table[1], table[0])))))
+    each = scored.filter(~F.col("base_failed")).join(marked, "doc_id").select("quality", F.posexplode("scores").alias("group", "score"))
+    bins = each.groupBy("group", "quality", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin")).count()
+    table = np.zeros((len(GROUPS), 2, BINS), np.int64)
+    for group, quality, at, n in bins.collect():  # at most 2 * BINS rows a group
+        table[group, quality, at] = n
+    kept = ~F.col("base_failed")
+    for group, (bad, good) in enumerate(table):
+        kept &= F.col("scores")[group] < F.lit(float(threshold(good, bad)))
+    return scored.withColumns({"anomaly": F.array_max("scores"), "kept": kept}).drop("scores")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
