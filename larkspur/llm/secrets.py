@@ -116,21 +116,33 @@ def log_ratio(value: Column, weights: list[float]) -> Column:
     )["sum"]
 
 
-def secret_spans(docs: DataFrame, weights: list[float], text: str = "text", min_run: int = 20, min_ratio: float = 12.0) -> DataFrame:
+def beside(run: Column, base: Column) -> Column:
+    """What base spans (by start) leave of a run, as array<struct<start, kind, end, value>>."""
+    piece = lambda start, end: F.struct(
+        start.alias("start"), run["kind"].alias("kind"), end.alias("end"), F.substring(run["value"], start - run["start"] + 1, end - start).alias("value")
+    )
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+
+    def step(acc: Column, b: Column) -> Column:
+        out = F.when(b["start"] > acc["pos"], F.array_append(acc["out"], piece(acc["pos"], b["start"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["pos"], b["end"]).alias("pos"), out.alias("out"))
+
+    left = F.aggregate(over, F.struct(run["start"].alias("pos"), none.alias("out")), step)
+    return F.when(F.size(over) == 0, F.array(run)).otherwise(F.when(left["pos"] < run["end"], F.array_append(left["out"], piece(left["pos"], run["end"]))).otherwise(left["out"]))
+
+
+def secret_spans(docs: DataFrame, weights: list[float], text: str = "text", min_run: int = 12, min_ratio: float = 12.0) -> DataFrame:
     """docs with `base` and `spans` (base and model spans by start, then kind; the model's kind is 3).
 
-    The model judges runs of at least min_run letters, digits and joiners that hold a digit and a letter and touch no
-    base span; a ratio of min_ratio nats or more makes a span. Whole texts are scanned.
+    The model judges runs of at least min_run letters, digits and joiners, whatever their mix, or what base spans leave of
+    them; a ratio of min_ratio nats or more makes a span. Whole texts are scanned.
     """
     t, run = F.coalesce(F.col(text), F.lit("")), RUN % min_run
     some = base_spans(docs, text).withColumn("_r", F.regexp_extract_all(t, F.lit(run), F.lit(0)))
-    some = some.withColumn("_r", F.when(F.exists("_r", lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")), F.col("_r")).otherwise(F.array().cast("array<string>")))
     places = located(t, run, F.col("_r"), len(KINDS))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    judged = F.filter(
-        F.filter(places, lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")),
-        lambda x: apart(x) & (log_ratio(x["value"], weights) >= min_ratio),
-    )
+    pieces = F.when(F.size("base") == 0, places).otherwise(F.flatten(F.transform(places, lambda x: beside(x, F.col("base")))))
+    judged = F.filter(pieces, lambda x: (F.length(x["value"]) >= 2) & (log_ratio(x["value"], weights) >= min_ratio))
     return some.withColumn("spans", F.array_sort(F.concat(F.col("base"), judged))).drop("_r")
 
 
