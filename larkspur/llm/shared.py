@@ -48,11 +48,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: cuts lineage, survives lost executors."""
+def written_at(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """The rows of df, written to the shared folder and read again (cuts lineage, survives lost executors), and the path."""
     path = fresh_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    return written_at(df, name, **options)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
