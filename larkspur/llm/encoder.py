@@ -2,7 +2,8 @@
 
 A text is cut only where its pre-tokenizer always cuts, so the units' ids, joined, are the ids of the whole text. Units
 are cached; a plain word with plain punctuation goes straight to the library's BPE model, any other unit through the
-whole tokenizer. Tokenizers whose rules are not known here encode whole texts.
+whole tokenizer. A text that holds a special token's own characters is encoded whole, so that the library finds the token
+there as it does everywhere. Tokenizers whose rules are not known here encode whole texts.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ class Encoder(dict):
     def __init__(self, path: str, units: int = 1_000_000):
         super().__init__()
         self.tokenizer, self.units = Tokenizer.from_file(path), units
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.literals = [a.content for a in added]
         self.model, self.table = self.tokenizer.model, byte_alphabet()
         with open(path) as f:
             rules = json.load(f)
@@ -45,6 +47,8 @@ class Encoder(dict):
             self.kind = "spaced"
         elif parts == ["Split", "ByteLevel"] and normal and {"type": "Lowercase"} in normal.get("normalizers", []) and rules["model"].get("end_of_word_suffix"):
             self.kind = "words"
+        if any(a.normalized for a in added):  # such tokens may be spelt in other ways too
+            self.kind = "whole"
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.units:
@@ -64,6 +68,8 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
+        if any(x in text for x in self.literals):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self.kind == "spaced":
             units = BOUNDARY.split(text) if SPACED.search(text) else text.replace(" ", "\x00 ").split("\x00")
         elif self.kind == "words" and not SEPARATOR.search(text):

@@ -1,13 +1,15 @@
 """Packing documents into sequences by cutting-stock column generation.
 
-A document is cut into full sequences and a rest. Rests are grouped by length in steps of `step` ids; the linear program
-over that histogram (at most length/step rows, whatever the input's size) is solved by column generation: a knapsack
-dynamic program prices new patterns until none improves the bound. Rounded-down patterns and a first-fit plan for what
-remains make a table of slots. Documents get ranks within their length class from prefix sums over the writing tasks, and
-a rank gives pattern, copy of the pattern and slot. Rests alone are shuffled, by the sequence that they go to.
+A document is cut into full sequences and a rest. Rests are grouped by width: their length up to `fine` ids, longer ones
+rounded up to the next multiple of `step`. The linear program over that histogram (its rows are bounded by the length of a
+sequence, whatever the input's size) is solved by column generation: a knapsack dynamic program prices new patterns until
+the plan is within `gap` of the bound. Rounded-down patterns and a first-fit plan for what remains make a table of slots.
+Documents get ranks within their width from prefix sums over the writing tasks, and a rank gives pattern, copy of the
+pattern and slot. Rests alone are shuffled, by the sequence that they go to.
 
 Defined results: a null text is empty and has only the end id; every row is a document of its own, so repeated rows are
-packed again; an empty table gives no pieces; other columns are ignored.
+packed again; texts of any length are cut, never shortened; documents of one width are packed in no particular order; an
+empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +27,29 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def priced(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the most valuable pattern in `room` units; value[w] is that of an item of w units (0 unused)."""
-    best, choice = np.zeros(room + 1), np.zeros(room + 1, int)
-    for r in range(1, room + 1):
-        sums = value[1 : r + 1] + best[r - 1 :: -1][:r] if r > 1 else value[1:2] + best[:1]
-        w = int(np.argmax(sums))
-        if sums[w] > best[r - 1]:
-            best[r], choice[r] = sums[w], w + 1
-        else:
-            best[r], choice[r] = best[r - 1], 0
-    pattern, r = np.zeros(room + 1, int), room
+def priced(sizes: np.ndarray, value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """Unbounded knapsack: the most valuable pattern in `room` units, as how often it takes each of the (rising) sizes."""
+    # an item that no smaller one outdoes is all that a best pattern needs
+    able = np.flatnonzero(value > np.r_[0.0, np.maximum.accumulate(np.maximum(value, 0))[:-1]])
+    sizes_, value_ = sizes[able], value[able]
+    best, choice = np.zeros(room + 1), np.full(room + 1, -1)
+    if len(able):
+        fitting = np.searchsorted(sizes_, np.arange(room + 1), "right")
+        for r in range(int(sizes_[0]), room + 1):
+            k = fitting[r]
+            sums = best[r - sizes_[:k]] + value_[:k]
+            i = int(sums.argmax())
+            if sums[i] > best[r - 1]:
+                best[r], choice[r] = sums[i], i
+            else:
+                best[r] = best[r - 1]
+    pattern, r = np.zeros(len(sizes), int), room
     while r > 0:
-        pattern[choice[r]] += choice[r] > 0
-        r -= choice[r] or 1
+        if choice[r] >= 0:
+            pattern[able[choice[r]]] += 1
+            r -= sizes_[choice[r]]
+        else:
+            r -= 1
     return float(best[room]), pattern
 
 
@@ -74,27 +85,28 @@ def greedy_basis(sizes: np.ndarray, need: np.ndarray, room: int) -> tuple[np.nda
     return patterns, used
 
 
-def generated_patterns(demand: np.ndarray, room: int, gap: float = 1e-3, most: int = 1_500) -> list[tuple[np.ndarray, float]]:
+def generated_patterns(demand: np.ndarray, room: int, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often the linear program uses them; demand[w] counts items of w units.
 
-    Stops once the total is within one sequence, or a relative gap, of a lower bound (of the dual, or of what the items
-    fill), or after `most` columns: any basis on the way is a feasible plan.
+    Ends once the total is within one sequence, or a relative gap, of a lower bound (of the dual, or of what the items
+    fill), or when as many columns as there are sizes have not lowered it: any basis on the way is a feasible plan.
     """
     sizes = np.flatnonzero(demand)
     if not len(sizes):
         return []
     need = demand[sizes].astype(float)
     patterns, used = greedy_basis(sizes, need, room)
-    inverse, filled = inverted(patterns), float((need * sizes).sum()) / room
-    for turn in range(most):
+    inverse, bound = inverted(patterns), float((need * sizes).sum()) / room
+    lowest, idle, turn = np.inf, 0, 0
+    while True:
         dual = inverse.sum(axis=0)
-        value = np.zeros(room + 1)
-        value[sizes] = np.maximum(dual, 0)
-        worth, pattern = priced(value, room)
-        total = used.sum()
-        if worth <= 1 + 1e-9 or total - max(filled, (dual * need).sum() / worth) <= max(1, gap * total):
+        worth, pattern = priced(sizes, np.maximum(dual, 0), room)
+        total, bound = used.sum(), max(bound, (dual * need).sum() / max(worth, 1e-9))
+        idle = 0 if total < lowest - 1e-9 else idle + 1
+        lowest = min(lowest, total)
+        if worth <= 1 + 1e-9 or total - bound <= max(1, gap * total) or idle > len(sizes):
             break
-        column = pattern[sizes].astype(float)
+        column = pattern.astype(float)
         move = (inverse * column).sum(axis=1)
         able = move > 1e-9
         leaving = int(np.argmin(np.where(able, used / np.where(able, move, 1), np.inf)))
@@ -105,7 +117,8 @@ def generated_patterns(demand: np.ndarray, room: int, gap: float = 1e-3, most: i
         row = inverse[leaving] / move[leaving]
         inverse -= np.outer(move, row)
         inverse[leaving] = row
-        if turn % 500 == 499:
+        turn += 1
+        if turn % 500 == 0:
             inverse = inverted(patterns)
     out = []
     for j in np.flatnonzero(used > 1e-9):
@@ -115,8 +128,28 @@ def generated_patterns(demand: np.ndarray, room: int, gap: float = 1e-3, most: i
     return out
 
 
+def fitted(left: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns that hold all items: the largest that fits, again and again; repeated while the same pattern still fits."""
+    out, left = [], left.copy()
+    while left.any():
+        pattern, free, w = np.zeros(room + 1, int), room, room
+        for w in np.flatnonzero(left)[::-1]:
+            if w <= free:
+                pattern[w] = min(int(left[w]), free // w)
+                free -= pattern[w] * w
+        held = pattern > 0
+        times = int((left[held] // pattern[held]).min())
+        out.append((pattern, times))
+        left -= pattern * times
+    return out
+
+
 def plan(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
-    """Whole numbers of patterns that hold all items: the program's, rounded down, then best fit for what is left."""
+    """Whole numbers of patterns that hold all items: the program's, rounded down, then best fit for what is left; or best
+    fit alone, where that takes no more sequences."""
+    simple = fitted(demand, room)
+    if sum(n for _, n in simple) <= -(-int((demand * np.arange(room + 1)).sum()) // room):
+        return simple  # no plan has fewer
     left, out = demand.copy(), []
     for pattern, used in generated_patterns(demand, room):
         times = int(used + 1e-9)
@@ -125,21 +158,13 @@ def plan(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
         if times:
             out.append((pattern, times))
             left -= pattern * times
-    while left.any():  # the largest that fits, again and again; repeated while the same pattern still fits
-        pattern, free = np.zeros(room + 1, int), room
-        for w in range(room, 0, -1):
-            if left[w] and w <= free:
-                n = min(int(left[w]), free // w)
-                pattern[w], free = n, free - n * w
-        held = pattern > 0
-        times = int((left[held] // pattern[held]).min())
-        out.append((pattern, times))
-        left -= pattern * times
-    return out
+    out += fitted(left, room)
+    return min(simple, out, key=lambda p: sum(n for _, n in p))
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, length: int, step: int, text: str) -> DataFrame:
-    """Each document's ids, task, number among its task's documents of that class, and full sequences before it there."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, length: int, fine: int, step: int, text: str) -> DataFrame:
+    """Each document's ids, task, width of its rest, number among its task's documents of that width, and full sequences
+    before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .encoder import encoder
@@ -154,7 +179,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, length: int, step: int
                 ranks, classes, before = [], [], []
                 for data in ids:
                     n = len(data) // 4
-                    kind = -(-(n % length) // step)
+                    kind = n % length if n % length <= fine else min(length, -(-(n % length) // step) * step)
                     classes.append(kind)
                     ranks.append(seen[kind])
                     before.append(full)
@@ -169,10 +194,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, length: int, step: int
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, length: int = 2048, step: int = 8, text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, length: int = 2048, fine: int = 128, step: int = 8, text: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    spark, room = docs.sparkSession, length // step
-    all_ids = shared.written(encoded(docs, tokenizer, end_id, length, step, text), "encoded", compression="zstd")
+    spark, room = docs.sparkSession, length
+    all_ids = shared.written(encoded(docs, tokenizer, end_id, length, fine, step, text), "encoded", compression="zstd")
     counts = all_ids.filter("class > 0").groupBy("class", "task").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("class").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = shared.written(counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "bases")

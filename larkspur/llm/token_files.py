@@ -2,12 +2,13 @@
 
 A folder holds, for each shard of the documents in ascending doc_id order: NAME.bin, the ids of all its documents, as
 unsigned 16-bit integers if the vocabulary allows it, else 32-bit, little-endian; NAME.off, n+1 64-bit offsets in ids
-within the shard; NAME.doc, n 64-bit doc_ids. manifest.json lists the shards in order, each with the number of documents
+within the shard; NAME.doc, n 64-bit doc_ids, 0 for a null one; NAME.nul, n bytes, 1 where the doc_id is null. manifest.json lists the shards in order, each with the number of documents
 and ids in all shards before it, which are prefix sums of what the writing tasks report. A shard's name has a part of its
 own for each attempt, and only names that successful attempts report are listed, so a lost executor leaves no harm.
 
 Defined results: a null text is empty and has only the end id; documents with equal ids keep the order of their texts; a
-null doc_id comes first and is kept; an empty table gives an empty manifest; other columns are ignored.
+null doc_id comes first and is kept; a text of any length is one document; rows that share a doc_id may stand in several
+shards, in order; an empty table gives an empty manifest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-NO_ID = -(1 << 63)
 MB_OF_IDS = 8
 
 
@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encode, last = TaskContext.get().partitionId(), encoder(tokenizer).encode, array("I", [end_id]).tobytes()
-        name, places, ids = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}", array("q", [0]), array("q")
+        name, places, ids, nulls = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}", array("q", [0]), array("q"), bytearray()
         store, out = None, None
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -54,15 +54,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text
                 data = np.frombuffer(encode(content or "") + last, "<u4")
                 out.write(data.astype(width).tobytes())
                 places.append(places[-1] + len(data))
-                ids.append(NO_ID if doc is None else doc)
+                ids.append(doc or 0)
+                nulls.append(doc is None)
         if out is not None:
             out.close()
             for ending, values in (("off", places), ("doc", ids)):
                 with store.open_output_stream(f"{where}/{name}.{ending}") as f:
                     f.write(np.asarray(values, "<i8").tobytes())
+            with store.open_output_stream(f"{where}/{name}.nul") as f:
+                f.write(bytes(nulls))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "name": [name], "docs": pa.array([len(ids)], pa.int64()), "ids": pa.array([places[-1]], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     shards, n_docs, n_ids = [], 0, 0
     for row in sorted(ordered.mapInArrow(write, "shard long, name string, docs long, ids long").collect()):
         shards.append({"name": row["name"], "docs": row["docs"], "ids": row["ids"], "docs_before": n_docs, "ids_before": n_ids})
@@ -85,6 +88,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 whole = lambda ending: np.frombuffer(store.open_input_file(f"{where}/{name}.{ending}").read(), "<i8")  # noqa: B023, E731
                 places, docs = whole("off"), whole("doc")
+                nulls = np.frombuffer(store.open_input_file(f"{where}/{name}.nul").read(), bool)
                 local = isinstance(store, pafs.LocalFileSystem)
                 data = np.memmap(f"{where}/{name}.bin", width, "r") if local else None
                 flat = None if local else store.open_input_file(f"{where}/{name}.bin")
@@ -101,7 +105,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, cuts.buffers()[1], pa.py_buffer(ids.tobytes())]).cast(pa.binary())
                     keys = docs[first:end]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, mask=keys == NO_ID), pa.array(base + places[first:end]), pa.array(np.diff(places[first : end + 1])), column], ["doc_id", "start", "n_tokens", "ids"]
+                        [pa.array(keys, mask=nulls[first:end]), pa.array(base + places[first:end]), pa.array(np.diff(places[first : end + 1])), column], ["doc_id", "start", "n_tokens", "ids"]
                     )
                     first = end
 
