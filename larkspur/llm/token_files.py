@@ -6,8 +6,8 @@ within the shard; NAME.doc, n 64-bit doc_ids, 0 for a null one; NAME.nul, n byte
 and ids in all shards before it, which are prefix sums of what the writing tasks report. A shard's name has a part of its
 own for each attempt, and only names that successful attempts report are listed, so a lost executor leaves no harm.
 
-Defined results: a null text is empty and has only the end id; documents with equal ids keep the order of their texts; a
-null doc_id comes first and is kept; a text of any length is one document; rows that share a doc_id may stand in several
+Defined results: a null text is empty and has only the end id; documents with equal ids stand in order of a hash of their
+texts, null first; a null doc_id comes first and is kept; a text of any length is one document; rows that share a doc_id may stand in several
 shards, in order; an empty table gives an empty manifest; other columns are ignored.
 """
 
@@ -65,7 +65,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text
                 f.write(bytes(nulls))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "name": [name], "docs": pa.array([len(ids)], pa.int64()), "ids": pa.array([places[-1]], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges are sampled in the driver, so the texts themselves stay out of the key
+    place = F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("place")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), place).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "text").drop("place")
     shards, n_docs, n_ids = [], 0, 0
     for row in sorted(ordered.mapInArrow(write, "shard long, name string, docs long, ids long").collect()):
         shards.append({"name": row["name"], "docs": row["docs"], "ids": row["ids"], "docs_before": n_docs, "ids_before": n_ids})
