@@ -7,8 +7,10 @@ on the exact likelihood of labelled pages and decoded by Viterbi. The labelled p
 layouts of many kinds, whose blocks carry the label of the part that they were made for.
 
 Defined results: null or empty html gives an empty text, as does a page without main blocks; repeated rows repeat; text
-outside of tags is a block; unclosed tags, comments and quotes are read to the end; other columns are ignored; an empty
-table gives an empty result. Whole pages are read, whatever their length.
+outside of tags is a block; an unclosed comment, script, style, title or textarea is read to the end, other unclosed
+elements end with the page; a quote that never closes is no quote; a `<` that no `>` follows is text; ties in decoding go
+to `other`; other columns are ignored, and `extracted` refuses a name for the result that the pages have; an empty table
+gives an empty result. Whole pages are read, in time and memory in proportion to their length.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +28,12 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAME, OPENED = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"""["'>]""")
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-#: Fixed values of HTML: elements whose content is no text, void ones, and those that begin and end blocks.
-RAW = frozenset("script style noscript template svg iframe title textarea object math select".split())
+#: Fixed values of HTML: elements whose content is no text (the first four even if they are never closed), void ones, and
+#: those that begin and end blocks.
+RAW = ("script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "select")
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -36,12 +41,99 @@ BLOCK = frozenset(
 IN_LINE_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(ancestors, text, linked characters) of each leaf block with text, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = [("", "")]
-    pieces: list[str] = []
-    path, linked, links, at = "", 0, 0, 0
+class Tags:
+    """The tags of a page, in one pass: places where a search found nothing to the end are not searched again."""
+
+    def __init__(self, page: str):
+        self.page, self.lost, self.doomed = page, set(), set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` is next, or -1."""
+        found = -1 if what in self.lost else self.page.find(what, at)
+        if found < 0:
+            self.lost.add(what)
+        return found
+
+    def end(self, start: int, at: int) -> int:
+        """Behind the `>` that closes the tag begun at `start`, or -1. It stands outside of quotes, unless no such follows."""
+        opened, place = [], at
+        while found := OPENED.search(self.page, place):
+            place, mark = found.start(), found[0]
+            if mark == ">":
+                return place + 1
+            if place in self.doomed:  # an earlier tag came by here and found no end
+                break
+            opened.append(place)
+            place = max(place, self.find(mark, place + 1)) + 1
+        self.doomed.update(opened)
+        return self.find(">", start) + 1 or -1
+
+    def closing(self, name: str, at: int) -> int:
+        """Behind the closing tag of an element without text, or -1."""
+        found = None if f"</{name}" in self.lost else CLOSING[name].search(self.page, at)
+        if not found:
+            self.lost.add(f"</{name}")
+        return found.end() if found else -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it closes, attributes) of each tag, an element without text taken as one; a comment
+        or declaration has no name."""
+        at = 0
+        while (start := self.find("<", at)) >= 0:
+            at = start + 1
+            if self.page.startswith("<!--", start):
+                at = self.find("-->", start + 4) + 3
+                at = len(self.page) if at < 3 else at
+                yield start, at, "", False, ""
+                continue
+            if self.page[at : at + 1] in ("!", "?") and at < len(self.page):
+                end = self.find(">", at) + 1
+                if end:
+                    yield start, end, "", False, ""
+                    at = end
+                continue
+            closes = self.page[at : at + 1] == "/"
+            if ">" in self.lost or not (named := NAME.match(self.page, at + closes)):
+                continue
+            end = self.end(start, named.end())
+            if end < 0:
+                continue
+            name, attributes = named[0].lower(), self.page[named.end() : end - 1]
+            at = end
+            if name in CLOSING and not closes and not attributes.endswith("/"):
+                behind = self.closing(name, at)
+                at = behind if behind >= 0 else len(self.page) if name in RAW[:4] else at
+            yield start, at, name, closes, attributes
+
+
+class Node:
+    """An open element: what its path has that its parent's has not, and a place for its path's score."""
+
+    __slots__ = ("name", "parent", "fresh", "inner", "named", "score")
+
+    def __init__(self, name: str, parent: Node | None, fresh: tuple[str, ...], named: bool):
+        self.name, self.parent, self.fresh, self.score = name, parent, fresh, None
+        self.inner = name if name in BLOCK else parent.inner if parent else "none"
+        self.named = named or bool(parent and parent.named)
+
+    def own(self) -> tuple[str, str]:
+        return f"leaf {self.inner}", f"named {self.named}"
+
+    def features(self) -> tuple[str, ...]:
+        out, at = list(self.own()), self
+        while at:
+            out += at.fresh
+            at = at.parent
+        return tuple(out)
+
+
+def blocks(page: str) -> list[tuple[Node, str, int]]:
+    """(innermost element, text, linked characters) of each leaf block with text, in page order."""
+    out: list[tuple[Node, str, int]] = []
+    root = Node("", None, (), False)
+    stack, marks, solid, pieces = [root], [()], [0], []  # solid: places of block-level elements in the stack
+    there: Counter[str] = Counter()  # open elements by name, and features on the path
+    path, linked, links, at = root, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -55,63 +147,60 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         nonlocal path, linked
         if piece:
             if not pieces:
-                path = stack[-1][1]
+                path = stack[-1]
             pieces.append(piece)
             if links:
                 linked += len(piece.strip())
 
-    while True:
-        found = TAG.search(page, at)
-        add(page[at : found.start()] if found else page[at:])
-        if not found:
-            break
-        at = found.end()
-        name = found[2] or found[5]
-        if name is None:
+    def close(depth: int) -> None:
+        nonlocal links
+        while len(stack) > depth:
+            node = stack.pop()
+            there.subtract(marks.pop())
+            there[f"<{node.name}"] -= 1
+            links -= node.name == "a"
+            if solid[-1] == len(stack):
+                solid.pop()
+
+    for start, end, name, closes, attributes in Tags(page):
+        add(page[at:start])
+        at = end
+        if not name:
             continue
-        name, closing, attributes = name.lower(), found[1] or found[4], found[3] or found[6] or ""
-        if name in RAW:
-            if not closing:
-                end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                add(" ")
+        if name in CLOSING:
+            add(" ")
             continue
         if name == "br":
             add(" ")
         if name in BLOCK:
             flush()
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth:
-                links -= sum(tag == "a" for tag, _ in stack[depth:])
-                del stack[depth:]
+        if closes:
+            if there[f"<{name}"]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             continue
         if name in VOID:
             continue
-        ends = {"p"} if name in BLOCK and name not in IN_LINE_ENDS else {name} if name in IN_LINE_ENDS else set()
-        for i in range(len(stack) - 1, 0, -1) if ends else ():
-            if stack[i][0] in ends:
-                links -= sum(tag == "a" for tag, _ in stack[i:])
-                del stack[i:]
-                break
-            if stack[i][0] in IN_LINE_ENDS.get(name, BLOCK):
-                break
-        words = " ".join(v.strip("\"'").lower() for v in NAMES.findall(attributes)) if attributes else ""
-        stack.append((name, f"{stack[-1][1]}>{name} {words}".rstrip()))
+        ends = name if name in IN_LINE_ENDS else "p" if name in BLOCK else ""
+        if ends and there[f"<{ends}"]:
+            for i in reversed(solid[1:]):
+                if stack[i].name == ends:
+                    close(i)
+                    break
+                if stack[i].name in IN_LINE_ENDS.get(name, BLOCK):
+                    break
+        words = {w for v in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", v.lower()) if w} if attributes else ()
+        marks.append([*sorted(f"word {w}" for w in words), *[f"in {name}"] * (name in BLOCK)])
+        stack.append(Node(name, stack[-1], tuple(m for m in marks[-1] if not there[m]), bool(words)))
+        there.update(marks[-1])
+        there[f"<{name}"] += 1
         links += name == "a"
+        if name in BLOCK:
+            solid.append(len(stack) - 1)
+    add(page[at:])
     flush()
     return out
 
 
-@functools.lru_cache(100_000)
-def path_features(path: str) -> tuple[str, ...]:
-    parts = [p.split(" ", 1) for p in path.split(">")[1:]]
-    tags = [p[0] for p in parts]
-    words = {w for p in parts if len(p) > 1 for w in re.split(r"[^a-z]+", p[1]) if w}
-    inner = next((t for t in reversed(tags) if t in BLOCK), "none")
-    return (f"leaf {inner}", *sorted({f"in {t}" for t in tags if t in BLOCK}), *sorted(f"word {w}" for w in words), f"named {bool(words)}")
-
-
 def text_features(text: str, linked: int) -> tuple[str, ...]:
     n = len(text)
     size = next((i for i, most in enumerate((15, 40, 100, 250)) if n <= most), 4)
@@ -136,8 +225,8 @@ PARTS = {
 SYLLABLES = ("ka", "ro", "mi", "ten", "sol", "va", "der", "lin", "po", "gra", "es", "un", "tho", "bel", "is", "ne")
 
 
-def made_page(seed: int) -> list[tuple[str, str, int, bool]]:
-    """A labelled page: (ancestors, text, linked characters, main) of its blocks, read back from generated html.
+def made_page(seed: int) -> list[tuple[Node, str, int, bool]]:
+    """A labelled page: (innermost element, text, linked characters, main) of its blocks, read back from generated html.
 
     Main text starts with a mark that the labels are taken from and that is removed."""
     draw = np.random.default_rng(seed)
@@ -197,7 +286,7 @@ def trained(pages: int = 400, turns: int = 250, penalty: float = 0.02, seed: int
     for i, page in enumerate(data):
         for j, (path, text, linked, main) in enumerate(page):
             gold[i, j], there[i, j] = main, True
-            for f in path_features(path) + text_features(text, linked):
+            for f in path.features() + text_features(text, linked):
                 who.append(i * longest + j)
                 which.append(names.setdefault(f, len(names)))
     who, which = np.array(who), np.array(which)
@@ -233,20 +322,27 @@ def trained(pages: int = 400, turns: int = 250, penalty: float = 0.02, seed: int
 class Field:
     def __init__(self, weights: dict[str, float], moves: np.ndarray):
         self.weights, self.moves = weights, [[float(x) for x in row] for row in moves]
-        self.paths: dict[str, float] = {}
 
-    def labels(self, page_blocks: list[tuple[str, str, int]]) -> list[bool]:
+    def path_score(self, node: Node) -> float:
+        """Sum of the path's weights; each element of a page is summed once."""
+        waiting = []
+        while node.score is None and node.parent:
+            waiting.append(node)
+            node = node.parent
+        score = node.score or 0.0
+        for x in reversed(waiting):
+            for f in x.fresh:
+                score += self.weights.get(f, 0.0)
+            x.score = score
+        return score
+
+    def labels(self, page_blocks: list[tuple[Node, str, int]]) -> list[bool]:
         """Viterbi; ties go to `other`."""
-        get, paths, back = self.weights.get, self.paths, []
+        get, back = self.weights.get, []
         (stay, enter), (leave, keep) = self.moves
         other = main = None
         for path, text, linked in page_blocks:
-            own = paths.get(path)
-            if own is None:
-                if len(paths) > 100_000:
-                    paths.clear()
-                own = paths[path] = sum(get(f, 0.0) for f in path_features(path))
-            score = own + sum([get(f, 0.0) for f in text_features(text, linked)])
+            score = self.path_score(path) + sum([get(f, 0.0) for f in (*path.own(), *text_features(text, linked))])
             if other is None:
                 other, main = 0.0, score
                 continue
@@ -274,6 +370,8 @@ def model() -> tuple[dict[str, float], np.ndarray]:
 
 def extracted(pages: DataFrame, column: str = "html", to: str = "text") -> DataFrame:
     """pages with the main text; column `to` must not be one of theirs."""
+    if to in pages.columns:
+        raise ValueError(f"pages have a column {to!r}: give another name")
     from pyspark.sql.types import StringType, StructType
 
     sent = pages.sparkSession.sparkContext.broadcast(model())
