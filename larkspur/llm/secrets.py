@@ -1,15 +1,18 @@
 """Secret scans: fixed patterns, plus two character Markov models compared by log-likelihood ratio.
 
 All of it is DataFrame expressions: spans come from the lengths of the pieces between matches, a model is a constant
-array of weights, and a candidate's score is a fold over its neighbouring characters.
+array of weights, and a candidate's score is a fold over its neighbouring characters. Folds that collect do so in chunks,
+and strings are read in chunks, so that time stays in proportion to a text's length and to its matches.
 
-Defined results: null and empty texts have no spans; every row of the input gives one row (repeated rows repeat);
-columns other than the key and the text are ignored; an empty table gives an empty result.
+Defined results: null and empty texts have no spans; texts are scanned whole, whatever their length; spans that start
+together are in order of their kinds; every row of the input gives one row (repeated rows repeat); other columns are passed
+through, but columns of the names `base` and `spans` are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,44 +31,66 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+"
 
 
+SPAN, CHUNK, LETTERS = "struct<start:int,kind:int,end:int,value:string>", 256, 4096
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once for each row, however often and in whatever lambda it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(items: Column, zero: Column, after: Callable[[Column, Column], Column], outs: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What outs(state, item) gives for all items, as one array of `kind`; after(state, item) is the next state.
+
+    Appending to one growing array would copy it each time, so chunks of items have arrays of their own."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def part(state: Column, some: Column) -> Column:
+        first = F.struct(state.alias("state"), none.alias("outs"))
+        return F.aggregate(some, first, lambda acc, x: F.struct(after(acc["state"], x).alias("state"), F.concat(acc["outs"], outs(acc["state"], x)).alias("outs")))
+
+    def parts(whole: Column) -> Column:
+        begin = F.array(F.struct(zero.alias("state"), none.alias("outs")))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / CHUNK).cast("int"))
+        return F.aggregate(chunks, begin, lambda acc, c: F.array_append(acc, part(F.element_at(acc, -1)["state"], F.slice(whole, c * CHUNK + 1, F.lit(CHUNK)))))
+
+    done = once(items, lambda whole: F.when(F.size(whole) > 0, parts(whole)))
+    return F.coalesce(F.flatten(F.transform(done, lambda x: x["outs"])), none)
+
+
 def located(text: Column, pattern: str, matches: Column, kind: int) -> Column:
-    """array<struct<start, kind, end, value>> of the pattern's matches, in code points, end exclusive.
+    """array<SPAN> of the pattern's matches, in code points, end exclusive.
 
     The i-th match starts after i+1 gaps and i matches, so running lengths of split() and the matches give all places.
     """
     gaps = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["pos"] + F.length(pair["gaps"])
-        end = begin + F.length(pair["matches"])
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["matches"].alias("value"))
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], one).alias("out"))
-
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gaps"), matches.alias("matches"))
-    return F.when(F.size(matches) == 0, none).otherwise(F.aggregate(pairs, start, step)["out"])
+    begin = lambda pos, x: pos + F.length(x["gaps"])
+    end = lambda pos, x: begin(pos, x) + F.length(x["matches"])
+    one = lambda pos, x: F.array(F.struct(begin(pos, x).alias("start"), F.lit(kind).alias("kind"), end(pos, x).alias("end"), x["matches"].alias("value")))
+    return F.when(F.size(matches) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(scanned(pairs, F.lit(0), end, one, SPAN))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base`: array<struct<start, kind, end, value>> of the base kinds, by start, then kind."""
+    """docs with `base`: array<SPAN> of the base kinds, by start, then kind; the value of an assignment is what it assigns."""
     t = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({f"_m{i}": F.regexp_extract_all(t, F.lit(p), F.lit(0)) for i, p in enumerate((ASSIGN, ACCESS, HEX))})
-    found = found.withColumn("_v0", F.when(F.size("_m0") > 0, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>")))
-    places = [located(t, p, F.col(f"_m{i}"), i) for i, p in enumerate((ASSIGN, ACCESS, HEX))]
+    names = [shared.unused(docs, f"_matches{i}") for i in range(4)]
+    found = docs.withColumns({n: F.regexp_extract_all(t, F.lit(p), F.lit(0)) for n, p in zip(names, (ASSIGN, ACCESS, HEX), strict=False)})
+    found = found.withColumn(names[3], F.when(F.size(names[0]) > 0, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>")))
+    places = [located(t, p, F.col(n), i) for i, (n, p) in enumerate(zip(names, (ASSIGN, ACCESS, HEX), strict=False))]
     long_enough = F.transform(
-        F.filter(F.arrays_zip(places[0].alias("s"), F.col("_v0").alias("v")), lambda x: F.length(x["v"]) >= MIN_ASSIGN_VALUE), lambda x: x["s"]
-    )
-    base = F.when(F.size("_m0") + F.size("_m1") + F.size("_m2") == 0, places[1].cast("array<struct<start:int,kind:int,end:int,value:string>>")).otherwise(
-        F.array_sort(F.concat(long_enough, places[1], places[2]))
+        F.filter(F.arrays_zip(places[0].alias("s"), F.col(names[3]).alias("v")), lambda x: F.length(x["v"]) >= MIN_ASSIGN_VALUE),
+        lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind"), x["s"]["end"].alias("end"), x["v"].alias("value")),
     )
-    return found.withColumn("base", base).drop("_m0", "_m1", "_m2", "_v0")
+    none = F.array().cast(f"array<{SPAN}>")
+    base = F.when(F.size(names[0]) + F.size(names[1]) + F.size(names[2]) == 0, none).otherwise(F.array_sort(F.concat(long_enough, places[1], places[2])))
+    return found.withColumn("base", base).drop(*names)
 
 
 def labelled_samples(docs: DataFrame, bound: int = 5_000, made: int = 20_000, text: str = "text") -> DataFrame:
     """Labelled strings (sample, label 1 random or 0 ordinary), about `bound` documents and `made` generated strings.
 
-    Label 1: generated base64, hex and upper-case strings, and the values that base patterns find. Label 0: the other
+    Label 1: generated base64, hex and upper-case strings, and the values (not the keywords) that base patterns find. Label 0: the other
     runs of letters, digits and joiners in the same documents, alone and joined to two-part identifiers.
     """
     spark = docs.sparkSession
@@ -108,28 +133,35 @@ def log_ratio(value: Column, weights: list[float]) -> Column:
     """Log-likelihood ratio, random against ordinary, of a string over the alphabet."""
     # one foldable expression: an array of thousands of separate literals would bloat the plan
     constant, letters = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>"), F.lit(ALPHABET)
-    code = lambda i: F.instr(letters, F.substring(value, i, F.lit(1)))
-    return F.aggregate(
-        F.sequence(F.lit(2), F.length(value)),
-        F.struct(code(F.lit(1)).alias("last"), F.lit(0.0).alias("sum")),
-        lambda acc, i: F.struct(code(i).alias("last"), (acc["sum"] + F.element_at(constant, (acc["last"] - 1) * len(ALPHABET) + code(i))).alias("sum")),
-    )["sum"]
-
-
-def beside(run: Column, base: Column) -> Column:
-    """What base spans (by start) leave of a run, as array<struct<start, kind, end, value>>."""
-    piece = lambda start, end: F.struct(
-        start.alias("start"), run["kind"].alias("kind"), end.alias("end"), F.substring(run["value"], start - run["start"] + 1, end - start).alias("value")
-    )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
 
-    def step(acc: Column, b: Column) -> Column:
-        out = F.when(b["start"] > acc["pos"], F.array_append(acc["out"], piece(acc["pos"], b["start"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], b["end"]).alias("pos"), out.alias("out"))
+    def step(acc: Column, letter: Column) -> Column:
+        code = F.instr(letters, letter)
+        return F.struct(code.alias("last"), F.when(acc["last"] == 0, acc["sum"]).otherwise(acc["sum"] + F.element_at(constant, (acc["last"] - 1) * len(ALPHABET) + code)).alias("sum"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.length(value) - 1) / LETTERS).cast("int")), lambda c: F.substring(value, c * LETTERS + 1, F.lit(LETTERS)))
+    return F.aggregate(chunks, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), lambda acc, part: F.aggregate(F.split(part, ""), acc, step))["sum"]
 
-    left = F.aggregate(over, F.struct(run["start"].alias("pos"), none.alias("out")), step)
-    return F.when(F.size(over) == 0, F.array(run)).otherwise(F.when(left["pos"] < run["end"], F.array_append(left["out"], piece(left["pos"], run["end"]))).otherwise(left["out"]))
+
+def beside(runs: Column, base: Column) -> Column:
+    """What base spans leave of runs, as array<SPAN>: both, by start, pass by; a run stays open up to what follows it."""
+    event = lambda is_run: lambda x: F.struct(x["start"].alias("start"), F.lit(is_run).alias("is_run"), x["end"].alias("end"), x["value"].alias("value"))
+    last = F.struct(F.lit((1 << 31) - 1).alias("start"), F.lit(True).alias("is_run"), F.lit((1 << 31) - 1).alias("end"), F.lit("").alias("value"))
+    events = F.array_append(F.array_sort(F.concat(F.transform(base, event(False)), F.transform(runs, event(True)))), last)
+    zero = F.struct(F.lit(0).alias("cover"), F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("value"))
+
+    def after(s: Column, x: Column) -> Column:
+        run = x["is_run"]
+        return F.struct(
+            F.when(run, s["cover"]).otherwise(F.greatest(s["cover"], x["end"])).alias("cover"), F.when(run, F.greatest(x["start"], s["cover"])).otherwise(F.greatest(s["at"], x["end"])).alias("at"),
+            F.when(run, x["start"]).otherwise(s["start"]).alias("start"), F.when(run, x["end"]).otherwise(s["end"]).alias("end"), F.when(run, x["value"]).otherwise(s["value"]).alias("value"),
+        )
+
+    def outs(s: Column, x: Column) -> Column:
+        end = F.least(s["end"], x["start"])
+        one = F.struct(s["at"].alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"), F.substring(s["value"], s["at"] - s["start"] + 1, end - s["at"]).alias("value"))
+        return F.when(s["at"] < end, F.array(one)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return scanned(events, zero, after, outs, SPAN)
 
 
 def secret_spans(docs: DataFrame, weights: list[float], text: str = "text", min_run: int = 12, min_ratio: float = 12.0) -> DataFrame:
@@ -139,11 +171,13 @@ def secret_spans(docs: DataFrame, weights: list[float], text: str = "text", min_
     them; a ratio of min_ratio nats or more makes a span. Whole texts are scanned.
     """
     t, run = F.coalesce(F.col(text), F.lit("")), RUN % min_run
-    some = base_spans(docs, text).withColumn("_r", F.regexp_extract_all(t, F.lit(run), F.lit(0)))
-    places = located(t, run, F.col("_r"), len(KINDS))
-    pieces = F.when(F.size("base") == 0, places).otherwise(F.flatten(F.transform(places, lambda x: beside(x, F.col("base")))))
+    some = base_spans(docs, text)
+    runs = shared.unused(some, "_runs")
+    some = some.withColumn(runs, F.regexp_extract_all(t, F.lit(run), F.lit(0)))
+    places = located(t, run, F.col(runs), len(KINDS))
+    pieces = F.when((F.size("base") == 0) | (F.size(runs) == 0), places).otherwise(beside(places, F.col("base")))
     judged = F.filter(pieces, lambda x: (F.length(x["value"]) >= 2) & (log_ratio(x["value"], weights) >= min_ratio))
-    return some.withColumn("spans", F.array_sort(F.concat(F.col("base"), judged))).drop("_r")
+    return some.withColumn("spans", F.array_sort(F.concat(F.col("base"), judged))).drop(runs)
 
 
 def listed(spans: Column) -> Column:
@@ -154,15 +188,20 @@ def listed(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span, overlapping ones merged, replaced by a mark."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / LETTERS).cast("int")), lambda c: F.substring(text, c * LETTERS + 1, F.lit(LETTERS)))
+    last = F.struct(F.length(text).alias("start"), F.lit(0).alias("kind"), F.length(text).alias("end"), F.lit("").alias("value"))
+
+    def between(parts: Column, a: Column, b: Column) -> Column:
+        low, high = lambda c: F.greatest(a, c * LETTERS), lambda c: F.least(b, (c + 1) * LETTERS)
+        places = F.sequence(F.floor(a / LETTERS).cast("int"), F.floor((b - 1) / LETTERS).cast("int"))
+        return F.when(a < b, F.array_join(F.transform(places, lambda c: F.substring(F.element_at(parts, c + 1), low(c) - c * LETTERS + 1, high(c) - low(c))), "")).otherwise("")
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["pos"] + 1, F.greatest(x["start"] - acc["pos"], F.lit(0)))
-        new = x["start"] >= acc["pos"]
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(new, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def done(parts: Column) -> Column:
+        outs = lambda pos, x: F.when(x["start"] >= pos, F.array(between(parts, pos, x["start"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+        return scanned(F.array_append(spans, last), F.lit(0), lambda pos, x: F.greatest(pos, x["end"]), outs, "string")
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["pos"] + 1, F.length(text))))
+    pieces = once(once(chunks, done), lambda x: F.array_join(F.slice(x, F.lit(1), F.size(x) - 1), ""))  # without the last one's mark
+    return F.when(F.size(spans) == 0, text).otherwise(pieces)
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:

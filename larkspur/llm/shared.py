@@ -65,6 +65,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes not to be a column of df."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def hashed_share(df: DataFrame, key: str, bound: int, total: int) -> DataFrame:
     """About `bound` rows (all, if there are no more), chosen by a hash of the key; reruns choose the same ones."""
     if total <= bound:
