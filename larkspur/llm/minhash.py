@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Documents with equal shingle sets form a class, found by aggregation over a hash of the set; the class's smallest doc_id
-stands for it. Signatures are cut into bands; representatives that share a band are candidates. Three passes verify them:
+Documents with equal shingle sets form a class, found by aggregation over a hash of the set; a number of its own stands for
+it, and classes that share a doc_id are linked. Signatures are cut into bands; representatives that share a band are candidates. Three passes verify them:
 
 1. each representative with the smallest one that it shares a band with;
 2. in buckets whose members are then in several components, each member outside of the main component with its likeliest
@@ -10,15 +10,16 @@ stands for it. Signatures are cut into bands; representatives that share a band
    a bucket of more than LARGE members brings its shingle sets along and verifies at once, so that what leaves it is at
    most one link for each component that it joins to another.
 
-In passes 2 and 3 the members of a bucket's main component are dealt into parts of bounded size, the others go to every
-part, and a streaming task compares arrays of signatures, so that a group's pairs are never emitted: those within one
-component need no look. Signatures are compared batch by batch, and a pair is dropped once the posterior probability
+In passes 2 and 3 the members of a bucket's main component are dealt into parts of bounded size, the others into chunks of
+that size, and a task for each chunk and part, and each two chunks, holds one chunk and streams the other, comparing arrays
+of signatures, so that a group's pairs are never emitted: those within one component need no look. Signatures are compared batch by batch, and a pair is dropped once the posterior probability
 (uniform prior) that its similarity reaches the threshold is below the chosen miss probability. Survivors are verified on
 full shingle sets.
 
 Defined results: a null text and one without words have no shingles and link with nothing; a text of fewer than `width`
-words has one shingle, the whole; repeated rows with one doc_id are one class and both are kept rows of it; null doc_ids
-link with nothing; an empty table gives an empty result; other columns are ignored.
+words has one shingle, the whole; texts of any length give all their shingles; rows that share a doc_id are one node,
+whether their texts are equal or not: what links with one of them links with all; null doc_ids link with nothing; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def close(x: bytes, y: bytes) -> bool:
 
 def survivors(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) that survive."""
-    sig = signatures.select("doc_id", "signature")
+    sig = signatures.select("num", "signature")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +154,22 @@ def survivors(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and the set's bytes of the wanted documents (one column, doc_id); the texts are shuffled once."""
+    """num and the set's bytes of the wanted classes (num, doc_id of a member, set_hash); the texts are shuffled once. Of
+    rows that share the doc_id, one whose set has the hash is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, done = WordHashes(), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "set"])
+                batch, nums, sets = whole.slice(at, 1000), [], []
+                for num, key, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if num not in done and xxhash.xxh3_128_digest(own := shingles(t, hashes).tobytes()) == key:
+                        nums.append(num)
+                        sets.append(own)
+                        done.add(num)
+                yield pa.RecordBatch.from_arrays([pa.array(nums, pa.int64()), pa.array(sets, pa.binary())], ["num", "set"])
 
-    return docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, set binary")
+    return docs.join(wanted.hint("shuffle_hash"), "doc_id").select("num", "set_hash", "text").mapInArrow(run, "num long, set binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,16 +190,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def crossed(rows: DataFrame, best: bool) -> DataFrame:
-    """Surviving pairs (a, b) of different components within a part of a bucket: of each member outside of the main
-    component the likeliest one, or all, each in the first band that the pair shares.
+    """Surviving pairs (a, b) of different components of a chunk of a bucket and what it meets: of each member outside of
+    the main component the likeliest one, or all, each in the first band that the pair shares.
 
-    rows: bucket, part, main (of the first member's component), doc_id, component, signature, n_parts, place, set (of large
-    buckets, whose pairs are verified here until their components meet; else null); streamed in order of bucket, part,
-    others first. Others are compared with each other in the part that the smaller id names.
+    rows: bucket, chunk, with_ (what the chunk meets), streamed, main, self (the chunk meets itself), num, component,
+    signature, place, set (of large buckets, whose pairs are verified here until their components meet; else null), in order
+    of bucket, chunk, with_, streamed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, others, parent = None, None, {}
+        key, held, parent = None, None, {}
 
         def root(x: int) -> int:
             while parent.get(x, x) != x:
@@ -208,7 +215,7 @@ def crossed(rows: DataFrame, best: bool) -> DataFrame:
                     out.append(k)
             return out
 
-        def pairs(left: tuple, right: tuple, place: int, ordered: bool) -> pa.RecordBatch | None:
+        def pairs(left: tuple, right: tuple, place: int, ordered: bool = False) -> pa.RecordBatch | None:
             out = []
             for i, comp, sig, own_set in zip(*left, strict=True):
                 able = right[1] != comp
@@ -228,28 +235,28 @@ def crossed(rows: DataFrame, best: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"]) if out else None
 
         for whole in batches:
-            bucket, part, main, doc, comp, sig, n_parts, places, sets = (whole.column(i) for i in range(9))
-            keys = np.stack([bucket.to_numpy(), part.to_numpy(), main.to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
+            bucket, chunk, with_, streamed, main, itself, num, comp, sig, places, sets = (whole.column(i) for i in range(11))
+            keys = np.stack([*(x.to_numpy() for x in (bucket, chunk, with_)), streamed.to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), whole.num_rows]
-            ids, comps = doc.to_numpy(), comp.to_numpy()
-            sigs, held = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(-1, HASHES), np.array([*sets.to_pylist(), None], object)[:-1]
+            ids, comps = num.to_numpy(), comp.to_numpy()
+            sigs, bytes_of = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(-1, HASHES), np.array([*sets.to_pylist(), None], object)[:-1]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if x == y:
                     continue
-                now, is_main = tuple(keys[x, :2]), bool(keys[x, 2])
+                now, here, place, found = tuple(keys[x, :3]), (ids[x:y], comps[x:y], sigs[x:y], bytes_of[x:y]), int(places[x].as_py()), []
                 if now != key:
-                    key, others = now, None
+                    key, held = now, None
                     parent.clear()
-                here, place, n = (ids[x:y], comps[x:y], sigs[x:y], held[x:y]), int(places[x].as_py()), int(n_parts[x].as_py())
-                if is_main:
-                    found = [pairs(others, here, place, False)] if others is not None else []
-                else:
-                    own = tuple(c[here[0] % n == now[1]] for c in here)
-                    found = [pairs(own, here, place, True)]
-                    if others is not None:  # the others came in several batches
-                        before = tuple(c[others[0] % n == now[1]] for c in others)
-                        found += [pairs(before, here, place, True), pairs(own, others, place, True)]
-                    others = here if others is None else tuple(np.concatenate(z) for z in zip(others, here, strict=True))
+                if not keys[x, 3]:
+                    if itself[x].as_py():
+                        found.append(pairs(here, here, place, True))
+                        if held is not None:  # the chunk came in several batches
+                            found.append(pairs(here, held, place))
+                    held = here if held is None else tuple(np.concatenate(z) for z in zip(held, here, strict=True))
+                elif held is not None:
+                    found.append(pairs(held, here, place))
+                    if best and not main[x].as_py():
+                        found.append(pairs(here, held, place))
                 yield from (f for f in found if f is not None)
 
     return rows.mapInArrow(run, "a long, b long")
@@ -257,21 +264,31 @@ def crossed(rows: DataFrame, best: bool) -> DataFrame:
 
 def open_buckets(members: DataFrame, found: DataFrame, reps: DataFrame, sets: DataFrame | None, part_size: int) -> DataFrame:
     """Rows for crossed(): the members of buckets that hold several components, with the sets of large ones if given."""
-    placed = members.join(found, members["doc_id"] == found["node"], "left").select("bucket", "place", "n", "first", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = members.join(found, members["num"] == found["node"], "left").select("bucket", "place", "n", "first", "num", F.coalesce("component", "num").alias("component"))
     placed = shared.written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("doc_id") == F.col("first"), F.col("component"))).alias("main_component")).filter("low < high")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("num") == F.col("first"), F.col("component"))).alias("main_component")).filter("low < high")
     open_ = placed.join(mixed.select("bucket", "main_component"), "bucket").withColumn("main", F.col("component") == F.col("main_component"))
-    parts = F.ceil(F.col("n") / part_size).cast("long")
-    own, every = F.array(F.pmod(F.col("doc_id"), F.col("n_parts"))), F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)
-    dealt = open_.withColumn("n_parts", parts).withColumn("part", F.explode(F.when(F.col("main"), own).otherwise(every)))
-    rows = dealt.join(reps, "doc_id")
+    others = open_.filter("not main").groupBy("bucket").agg(F.count("*").alias("others"))
+    open_ = open_.join(others, "bucket")
+    cut = lambda n: F.ceil(n / part_size).cast("int")
+    open_ = open_.withColumns({"chunks": cut(F.col("others")), "parts": cut(F.col("n") - F.col("others"))})
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("num"), F.when(F.col("main"), F.col("parts")).otherwise(F.col("chunks"))).cast("int"))
+    to = lambda chunk, with_, streamed: F.struct(chunk.alias("chunk"), with_.alias("with_"), F.lit(streamed).alias("streamed"))
+    # a chunk meets all parts, itself, and the chunks before it, which stream by
+    every = lambda last, f: F.transform(F.sequence(F.lit(0), last), f)
+    holds = every(F.col("parts") + F.col("own"), lambda r: to(F.col("own"), r, False))
+    later = F.filter(every(F.col("chunks") - 1, lambda k: to(k, F.col("parts") + F.col("own"), True)), lambda x: x["chunk"] > F.col("own"))
+    streams = every(F.col("chunks") - 1, lambda k: to(k, F.col("own"), True))
+    dealt = open_.withColumn("task", F.explode(F.when(F.col("main"), streams).otherwise(F.concat(holds, later))))
+    dealt = dealt.select("bucket", "task.*", "main", "num", "component", "place", "n", (F.col("task.with_") == F.col("parts") + F.col("task.chunk")).alias("self"))
+    rows = dealt.join(reps, "num")
     if sets is None:
         rows = rows.withColumn("set", F.lit(None).cast("binary"))
     else:
         few = rows.filter(F.col("n") <= LARGE).withColumn("set", F.lit(None).cast("binary"))
-        rows = few.unionByName(rows.filter(F.col("n") > LARGE).join(sets, "doc_id"))
-    rows = rows.select("bucket", "part", "main", "doc_id", "component", "signature", "n_parts", "place", "set")
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "main")
+        rows = few.unionByName(rows.filter(F.col("n") > LARGE).join(sets, "num"))
+    rows = rows.select("bucket", "chunk", "with_", "streamed", "main", "self", "num", "component", "signature", "place", "set")
+    return rows.repartition("bucket", "chunk", "with_").sortWithinPartitions("bucket", "chunk", "with_", "streamed")
 
 
 def linked(docs: DataFrame, text: str = "text", part_size: int = 1024) -> DataFrame:
@@ -280,25 +297,39 @@ def linked(docs: DataFrame, text: str = "text", part_size: int = 1024) -> DataFr
     signed_docs = shared.written(signed(cut), "signatures")
     whole = signed_docs.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = whole.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"))
-    classes = shared.written(classes, "classes")
-    reps = classes.select(F.col("class_id").alias("doc_id"), "signature")
+    classes = shared.written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("num", "signature")
 
     # bands: the same 4 minima in the same place; the place is part of the key
     keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(signature, {i * ROWS * 4 + 1}, {ROWS * 4})")) for i in range(BANDS)])
-    bands = reps.select("doc_id", F.posexplode(keys).alias("place", "bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    bands = reps.select("num", F.posexplode(keys).alias("place", "bucket"))
+    buckets = bands.groupBy("bucket").agg(F.min("num").alias("first"), F.count("*").alias("n")).filter("n > 1")
     members = shared.written(bands.join(buckets, "bucket"), "members")
-    sets = shared.written(shingle_sets(cut, members.select("doc_id").distinct()), "sets")
+    wanted = classes.join(members.select("num").distinct(), "num", "left_semi").select("num", F.col("class_id").alias("doc_id"), "set_hash")
+    sets = shared.written(shingle_sets(cut, wanted), "sets")
 
-    pairs = members.groupBy("doc_id").agg(F.min("first").alias("first")).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = verified(survivors(pairs, reps), sets)
+    # classes that share a doc_id are linked
+    several = whole.withColumn("h", F.xxhash64("set_hash")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("doc_id")
+    nodes = whole.join(several, "doc_id").select("doc_id", "n_shingles", "set_hash").distinct().join(classes.select("n_shingles", "set_hash", "num"), ["n_shingles", "set_hash"]).select("doc_id", "num")
+    given = shared.written(nodes.join(nodes.groupBy("doc_id").agg(F.min("num").alias("a")), "doc_id").select("a", F.col("num").alias("b")).filter("a <> b"), "links")
+
+    pairs = members.groupBy("num").agg(F.min("first").alias("first")).filter("num <> first").select(F.col("first").alias("a"), F.col("num").alias("b"))
+    links = given.unionByName(verified(survivors(pairs, reps), sets))
     for best in (True, False):
         more = crossed(open_buckets(members, components(links), reps, None if best else sets, part_size), best).distinct()
         links = links.unionByName(verified(shared.written(more, "survivors"), sets))
     found = components(links)
 
-    by_class = classes.join(found, classes["class_id"] == found["node"], "left").select("n_shingles", "set_hash", F.coalesce("component", "class_id").alias("component_id"))
-    out = signed_docs.join(by_class, ["n_shingles", "set_hash"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    numbered = classes.join(found, classes["num"] == found["node"], "left").select("n_shingles", "set_hash", "class_id", F.coalesce("component", "num").alias("component"))
+    least = numbered.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    by_class = numbered.join(least, "component").select("n_shingles", "set_hash", "component_id")
+    full = signed_docs.filter("n_shingles > 0").join(by_class, ["n_shingles", "set_hash"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    # a row without shingles follows the rows that have its doc_id and some
+    bare = signed_docs.filter("n_shingles = 0").select("doc_id", "n_shingles")
+    ids = bare.select(F.col("doc_id").alias("bare_id")).distinct()
+    follow = whole.join(ids, F.col("doc_id") == F.col("bare_id")).join(by_class, ["n_shingles", "set_hash"]).groupBy("bare_id").agg(F.min("component_id").alias("followed"))
+    bare = bare.join(follow, F.col("doc_id") == F.col("bare_id"), "left").select("doc_id", "n_shingles", F.coalesce("followed", "doc_id").alias("component_id"))
+    out = full.unionByName(bare)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
