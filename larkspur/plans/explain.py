@@ -35,11 +35,12 @@ def walk(node, depth: int = 0) -> list[tuple[int, str, dict[str, int]]]:
     return [(depth, text, metrics_of(node)), *(x for c in seq(node.children()) for x in walk(c, depth + 1))]
 
 
-def executed(df: DataFrame) -> tuple[list, float, list[str]]:
-    """Rows, seconds, and the annotated plan; falls back to the plan's text where metrics cannot be read."""
+def executed(df: DataFrame) -> tuple[int, float, list[str]]:
+    """Number of rows, which stay on the executors, seconds, and the annotated plan; falls back to the plan's text where
+    metrics cannot be read."""
     began = time.perf_counter()
     query = df._jdf.queryExecution()
-    rows = df.collect()
+    rows = query.toRdd().count()
     seconds = time.perf_counter() - began
     try:
         lines = []

@@ -37,7 +37,8 @@ class Table:
     indexes: dict[str, str] = field(default_factory=dict)  # name: column
     stats: Any = None
     stale: bool = True
-    sorted_by: str | None = None
+    sorted_by: str | None = None  # until rows are inserted
+    layouts: dict[str, str] = field(default_factory=dict)  # indexed column: folder with the rows in its order
 
 
 class Catalog:
@@ -58,9 +59,18 @@ class Catalog:
         """The table with its insertion sequence, if it is the engine's own."""
         return t.frame if t.path is None else self.spark.read.schema(self.schema(t)).parquet(t.path)
 
+    def typed(self, t: Table, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`").cast(TYPES[k]).alias(c) for c, k in t.columns.items()])
+
     def frame(self, name: str) -> tuple[DataFrame, dict[str, str]]:
+        return self.typed(self[name], self.stored(self[name])), self[name].columns
+
+    def relation(self, name: str, indexes: bool = True) -> tuple[DataFrame, dict[str, str], set[str], dict[str, DataFrame]]:
+        """Rows, columns, which columns can be NULL (none of the engine's own tables), and the rows by indexed column."""
         t = self[name]
-        return self.stored(t).select(*[F.col(f"`{c}`").cast(TYPES[k]).alias(c) for c, k in t.columns.items()]), t.columns
+        nullable = set() if t.path else {f.name.lower() for f in t.frame.schema.fields if f.nullable}
+        layouts = {c: self.typed(t, self.spark.read.schema(self.schema(t)).parquet(path)) for c, path in t.layouts.items()} if indexes else {}
+        return *self.frame(name), nullable, layouts
 
     def create(self, name: str, columns: list[tuple[str, str]]) -> Table:
         if name in self.tables:
@@ -107,22 +117,27 @@ class Catalog:
                     raise EngineError(f"integer out of range in column {column}")
                 out.append(value)
             checked.append((*out, t.rows + i))
-        self.spark.createDataFrame(checked, self.schema(t)).write.mode("append").parquet(t.path)
+        added = self.spark.createDataFrame(checked, self.schema(t)).coalesce(1)
+        for path in {t.path, *t.layouts.values()}:  # an index keeps its order within what each statement adds
+            own = [c for c, p in t.layouts.items() if p == path]
+            (added.sortWithinPartitions(*own) if own else added).write.mode("append").parquet(path)
         t.rows, t.stale, t.sorted_by = t.rows + len(rows), True, None
         return len(rows)
 
     def index(self, name: str, table: str, column: str) -> None:
-        """An index is a layout: the table is rewritten in ranges of the column, sorted, so that a bound on the column skips
-        files and row groups by their minima and maxima."""
+        """An index is a layout: the rows in ranges of the column, sorted, so that a bound on the column skips files and row
+        groups by their minima and maxima. The first index of a table becomes its own order, others are copies."""
         t = self[table]
         if column not in t.columns:
             raise EngineError(f"unknown column {table}.{column}")
         if t.columns[column] != "int":
             raise EngineError("only INT columns can be indexed")
+        if t.path is None:
+            raise EngineError(f"{table} is a registered frame, whose layout is its own")
         if name in t.indexes or column in t.indexes.values():
             raise EngineError(f"{table}.{column} is indexed already")
-        if t.path is not None and not t.indexes:
-            path = f"{t.path.rsplit('/', 1)[0]}/{uuid.uuid4().hex[:8]}"
-            self.stored(t).repartitionByRange(column).sortWithinPartitions(column).write.parquet(path)
+        path = f"{self.folder}/{t.name}/{uuid.uuid4().hex[:8]}"
+        self.stored(t).repartitionByRange(column).sortWithinPartitions(column).write.parquet(path)
+        if not t.indexes:
             t.path, t.sorted_by = path, column
-        t.indexes[name] = column
+        t.indexes[name], t.layouts[column] = column, path
