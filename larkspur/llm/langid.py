@@ -1,11 +1,13 @@
 """Language ID by unigram models of pieces, marginalised over all segmentations.
 
 A fixed public vocabulary gives the pieces. For each language the probabilities of pieces come from a few rounds of
-expectation maximisation over the words of a bounded, hash-chosen sample of labelled documents. A text's log-likelihood
+expectation maximisation over all words of a hash-chosen sample of its labelled documents, bounded for each language. A
+text's log-likelihood
 is the sum over its words of the log of the sum over all segmentations, by a forward pass over characters that runs for
 many words and all languages at once; words are cached. Characters outside the vocabulary cost a fixed amount.
 
-Defined results: a text that is null or has no letter is `und` with score 0; ties go to the language that sorts first; no
+Defined results: a text that is null or has no letter is `und` with score 0 (digits and numbers of other kinds are no
+letters); words of any length are scored whole; ties go to the language that sorts first; no
 training rows at all make every text `und`; repeated rows repeat; columns other than those named are passed through
 (`identified`) or ignored; an empty table gives an empty result. Whole texts are scored.
 """
@@ -90,7 +92,8 @@ def expected(found: np.ndarray, lengths: np.ndarray, weight: np.ndarray, logs: n
         terms = np.stack([beta[t], *terms, outside + beta[t + 1]])
         top = terms.max(axis=0)
         safe = np.where(np.isfinite(top), top, 0)
-        beta[t] = np.where(np.isfinite(top), safe + np.log(np.exp(terms - safe).sum(axis=0)), -np.inf)
+        with np.errstate(divide="ignore"):
+            beta[t] = np.where(np.isfinite(top), safe + np.log(np.exp(terms - safe).sum(axis=0)), -np.inf)
     total, counts = alpha[lengths, np.arange(n)], np.zeros(len(logs))
     for t in range(width):
         for k in range(min(t + 1, longest)):
@@ -100,15 +103,26 @@ def expected(found: np.ndarray, lengths: np.ndarray, weight: np.ndarray, logs: n
     return counts[:-1]
 
 
-def words_of(text: str, longest_word: int = 24) -> list[str]:
-    """Runs of letters of a text, lower-cased and marked, longer ones cut into parts of longest_word characters."""
-    out = []
-    for w in [text] if text.isalpha() and text.islower() else NOT_LETTERS.sub(" ", text.lower()).split():
-        if len(w) <= longest_word:
-            out.append(MARK + w)
-        else:
-            out.extend(MARK + w[i : i + longest_word] for i in range(0, len(w), longest_word))
-    return out
+def words_of(text: str) -> list[str]:
+    """Runs of letters of a text, lower-cased and marked."""
+    text = text.lower()
+    words = [text] if text.isalpha() else NOT_LETTERS.sub(" ", text).split()
+    if not all(map(str.isalpha, words)):  # numbers that are no decimal digits
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return [MARK + w for w in words]
+
+
+def parts_by_size(words: list[str], most: int = 4_000, cells: int = 400_000) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of words in order of length: `most` words at most, or fewer so that the padded part stays small."""
+    at = 0
+    while at < len(words):
+        fits = lambda n: n * len(words[at + n - 1]) <= cells  # noqa: B023, E731
+        low, high = 1, min(most, len(words) - at)
+        while low < high:  # the most that fit; one at least
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if fits(middle) else (low, middle - 1)
+        yield at, at + low
+        at += low
 
 
 class Model:
@@ -127,8 +141,8 @@ class Model:
         parts = {t: words_of(t) for t in tokens}
         words = sorted({w for ws in parts.values() for w in ws}, key=len)
         segments, place, values = Segments(self.pieces, self.longest), {w: i for i, w in enumerate(words)}, [np.zeros((0, len(self.languages)))]
-        for i in range(0, len(words), 4000):
-            values.append(forward(*segments.of(words[i : i + 4000]), self.logs, self.outside))
+        for i, end in parts_by_size(words):
+            values.append(forward(*segments.of(words[i:end]), self.logs, self.outside))
         known = np.concatenate(values)
         flat = np.array([place[w] for ws in parts.values() for w in ws], np.int64)
         owner = np.repeat(np.arange(len(parts)), [len(ws) for ws in parts.values()])
@@ -164,14 +178,13 @@ class Model:
         return languages, scores
 
 
-def trained(labelled: DataFrame, bound: int = 4_000, rounds: int = 3, longest: int = 5, distinct: int = 10_000) -> Model:
-    """Fits on about `bound` rows (text, lang, doc_id), chosen by a hash of doc_id; lang and text are not null.
-
-    Words are counted by language in Spark; of each language's words the `distinct` most frequent of the sample take part.
-    """
-    from pyspark.sql import Window
-
-    some = shared.hashed_share(labelled.select("doc_id", "text", "lang"), "doc_id", bound, labelled.count())
+def trained(labelled: DataFrame, bound: int = 1_500, rounds: int = 3, longest: int = 5) -> Model:
+    """Fits on about `bound` rows (text, lang, doc_id) of each language, chosen by a hash of doc_id; lang and text are not
+    null. Words are counted by language in Spark; every word of the sample takes part."""
+    labelled, steps = labelled.select("doc_id", "text", "lang"), 1 << 40
+    shares = [x for r in labelled.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(int(steps * min(1.0, bound / r["count"]))))]
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(steps))
+    some = labelled.filter(place < F.element_at(F.create_map(*shares), F.col("lang"))) if shares else labelled
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[tuple[str, str]] = Counter()
@@ -182,18 +195,17 @@ def trained(labelled: DataFrame, bound: int = 4_000, rounds: int = 3, longest: i
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": pa.array(list(found.values()), pa.int64())})
 
     totals = some.select("text", "lang").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     pieces = vocabulary(longest=longest)
     by: dict[str, list[tuple[str, int]]] = {}
-    for lang, word, n in totals.withColumn("place", place).filter(F.col("place") <= distinct).select("lang", "word", "n").collect():
+    for lang, word, n in totals.collect():  # words of the bounded sample
         by.setdefault(lang, []).append((word, n))
     languages, segments, columns = sorted(by), Segments(pieces, longest), []
     for lang in languages:
         words = sorted(by[lang], key=lambda x: (len(x[0]), x[0]))
         parts = []
-        for i in range(0, len(words), 4000):
-            found, lengths = segments.of([w for w, _ in words[i : i + 4000]])
-            parts.append((found, lengths, np.array([n for _, n in words[i : i + 4000]], float)))
+        for i, end in parts_by_size([w for w, _ in words]):
+            found, lengths = segments.of([w for w, _ in words[i:end]])
+            parts.append((found, lengths, np.array([n for _, n in words[i:end]], float)))
         logs = np.full(len(pieces) + 1, -np.log(len(pieces)))
         logs[-1] = -np.inf
         for _ in range(rounds):
