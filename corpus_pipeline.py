@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's rows as Parquet to the shared
 folder and reads them again for the next. All but the last return the columns of docs. Empty tables pass through every
-stage; what null texts, repeated rows and ties give is stated with each stage's operator and below.
+stage; what null texts, very long ones, repeated rows and ties give is stated with each stage's operator and below.
 """
 
 from __future__ import annotations
@@ -13,13 +13,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import langid, minhash, mixing, packing, secrets, shared
 
 LEAST_SCORE = 0.5
-ORACLE_SQL = None  # models, signatures and encoders are beyond SQL; tests hold the stages against brute force
-
-
-def unused(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
+ORACLE_SQL = None  # models, signatures and encoders are beyond SQL; a test holds run() against a brute-force pipeline
 
 
 def named(name: str):
@@ -27,10 +21,14 @@ def named(name: str):
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose best language has a posterior below LEAST_SCORE."""
+    """Drops documents without a letter and those whose best language has a posterior below LEAST_SCORE. Where no language
+    could be learned, every document with a letter stays."""
     shared.ship(spark)
-    pred, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
-    found = langid.identified(docs, langid.fitted(docs), pred=pred, score=score)
+    model = langid.fitted(docs)
+    if not model.languages:
+        return docs.filter(named("text").rlike(r"\p{L}"))
+    pred, score = shared.unused(docs, "lang_pred"), shared.unused(docs, "lang_score")
+    found = langid.identified(docs, model, pred=pred, score=score)
     return found.filter((named(pred) != "und") & (named(score) >= LEAST_SCORE)).select(*map(named, docs.columns))
 
 
@@ -53,10 +51,10 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it, 0 to 2 times; null doc_ids and texts without words, which count
     for nothing in the mix, stay once. Rows that share a doc_id are taken equally often."""
-    times = unused(docs, "copies")
+    times = shared.unused(docs, "copies")
     mix = mixing.mixed(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias(times))
     taken = docs.join(mix, "doc_id", "left").withColumn(times, F.coalesce(named(times), F.lit(1)).cast("int"))
-    each = unused(docs, "copy")
+    each = shared.unused(docs, "copy")
     return taken.filter(named(times) > 0).withColumn(each, F.explode(F.sequence(F.lit(1), named(times)))).select(*map(named, docs.columns))
 
 
