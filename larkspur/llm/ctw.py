@@ -5,14 +5,15 @@ before, are nothing; one, two and three bytes before it as one of 32 classes (le
 five, six and seven bytes before it as they are. The next byte is decomposed into eight binary decisions; each decision has,
 for every context, a Krichevsky-Trofimov estimate, and the tree's weighted probability mixes all of them.
 
-Counts of (seven bytes, byte), a gram, come from all training documents and are kept as a written table that grows with the
-corpus; grams that only held-out documents have stand there with 0. Grams that share the nearest four bytes are in one
-bucket, where the tree below class contexts is weighted; the class contexts, at most 32^3, are weighted in the driver from
-sums over buckets, and go back to the buckets, which give every gram its log10 probability.
+Texts are written once in blocks of about 8 MB, each one compressed row. A block asks for its distinct words and its distinct
+grams (seven bytes and the byte after them) with their counts in training documents; grams go in ascending order as packed
+differences, which takes a byte or two each. Grams that share the nearest four bytes belong to one bucket, words go by a
+hash. What a bucket was asked is kept as a written table, which grows with the corpus. From it come the trees below class
+contexts; the class contexts, at most 32^3, are weighted in the driver from sums over buckets, and go back to the buckets,
+which answer every block in the order in which it asked. The block then reads its texts again and adds up.
 
-Each block of documents sends one row per distinct word and per distinct gram with the documents that hold it; a window by
-word or gram adds up the words' counts and finds the grams' probabilities, and partial sums bring both back to the
-documents. Rows grow as the input does; a frequent word or gram has one row per block.
+A bucket holds its distinct grams in memory, so a bucket grows with its most frequent four bytes. Answers are rounded to
+2^-16 of a power of ten for each byte, beyond which nothing is lost: no gram, word or text is left out.
 
 Defined results: a null or empty text has no words, only the end; repeated rows are separate documents that all count; a
 null doc_id counts as empty text in the fold; an empty table gives an empty result; other columns are ignored.
@@ -20,13 +21,15 @@ null doc_id counts as empty text in the fold; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -35,8 +38,8 @@ DEPTH, CLASSES, END = 3, 32, b"\n"
 CELLS = CLASSES**DEPTH * 256
 #: Lengths of the contexts of bytes as they are; a gram is the longest of them and the next byte, the nearest bytes lowest.
 LENGTHS = (4, 5, 6, 7)
-#: Begins the name of a gram among words; no word has white space.
-GRAM = b"\n"
+#: Answers are whole multiples of 1 / STEPS of a power of ten.
+STEPS = 1 << 16
 
 
 def class_table() -> bytes:
@@ -96,21 +99,6 @@ def grams_of(texts: list[bytes]) -> np.ndarray:
     return out[inside]
 
 
-def gathered(docs: DataFrame) -> DataFrame:
-    """gram, n: training counts, 0 for grams of held-out documents alone, from columns key, text (binary), held_out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, held in parts_of(batches):
-            whole = [b" ".join(normal(t)) + END for t in texts]
-            train = np.repeat(~np.array(held, bool), list(map(len, whole)))
-            grams, place = np.unique(grams_of(whole), return_inverse=True)
-            n = np.bincount(place, train, len(grams)).astype(np.int64)
-            for i in range(0, len(grams), 1 << 17):
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(grams[i : i + (1 << 17)].view(np.int64)), "n": pa.array(n[i : i + (1 << 17)])})
-
-    return docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, after moving the argument up by 8."""
     y, shift = x + 8.0, np.zeros_like(x)
@@ -219,139 +207,233 @@ def decisions(grams: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield bit, place, inside, p
 
 
-def bucketed(grams: DataFrame, buckets: int) -> DataFrame:
-    nearest = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * LENGTHS[0]) - 1))
-    return grams.withColumn("bucket", F.pmod(F.xxhash64(nearest), F.lit(buckets)))
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers: how many, then their bytes by significance, compressed."""
+    planes = values.astype(values.dtype.newbyteorder(">")).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
-def in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    grams, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(grams)
-    return grams[order], n[order]
-
-
-def model_of(grams: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class contexts' part of the model, from the table of grams: the cells that its grams use, sorted, and their values."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, n = in_order(table)
-        names, at = np.unique(class_contexts(keys), return_inverse=True)
-        counts = np.bincount(at * 256 + (keys & np.uint64(255)).astype(np.int64), n)
-        used = np.flatnonzero(counts)
-        out = [pa.table({"cell": pa.array((names[used // 256] * 256 + used % 256).astype(np.int32)), "n": pa.array(counts[used].astype(np.int64)), "deeper": pa.array(np.zeros(len(used)))})]
-        for _, place, inside, _ in decisions(keys, n):
-            cell, at = np.unique(place, return_inverse=True)
-            out.append(pa.table({"cell": pa.array(cell.astype(np.int32)), "n": pa.array(np.zeros(len(cell), np.int64)), "deeper": pa.array(np.bincount(at, inside, len(cell)))}))
-        return pa.concat_tables(out)
-
-    found = bucketed(grams, buckets).groupBy("bucket").applyInArrow(run, "cell int, n long, deeper double")
-    found = found.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("deeper").alias("deeper")).toArrow()  # at most CELLS rows
-    counts, deeper, cell = np.zeros(CELLS, np.int64), np.zeros(CELLS), found.column("cell").to_numpy()
-    counts[cell], deeper[cell] = found.column("n").to_numpy(), found.column("deeper").to_numpy()
-    used = np.unique(cell)
-    return used, weighted(counts, deeper)[used]
-
-
-def probabilities(grams: DataFrame, model: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """word (the gram's name), log: log10 P(byte | context) of every gram of the table."""
-    sent = grams.sparkSession.sparkContext.broadcast(model)
-
-    def run(table: pa.Table) -> pa.Table:
-        (cell, values), (keys, n) = sent.value, in_order(table)
-        context, byte, logs = class_contexts(keys) * 256, (keys & np.uint64(255)).astype(np.int64), np.zeros(len(keys))
-        for bit, _, _, p in decisions(keys, n):
-            top, taken = values[np.searchsorted(cell, context + (1 << bit) + (byte >> (8 - bit)))], byte >> (7 - bit) & 1
-            logs += np.log10(np.where(taken == 1, top[:, 1], top[:, 0]) + top[:, 2].astype(np.float64) * p)
-        return pa.table({"word": named(keys), "log": pa.array(logs)})
-
-    return bucketed(grams, buckets).groupBy("bucket").applyInArrow(run, "word binary, log double")
-
-
-def named(grams: np.ndarray) -> pa.Array:
-    data = np.empty((len(grams), 9), np.uint8)
-    data[:, 0], data[:, 1:] = GRAM[0], grams.astype(">u8").view(np.uint8).reshape(-1, 8)
-    return pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(np.arange(0, 9 * len(grams) + 1, 9, dtype=np.int32)), pa.py_buffer(data)])
-
-
-def posted(flat: np.ndarray, owner: np.ndarray, held: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of names numbered below n and the documents that they stand in: counts in training, posts, bounds of each one's posts."""
-    docs = len(held)
-    keys, times = np.unique(flat * docs + owner, return_counts=True)
-    name, doc = keys // docs, keys % docs
-    train = np.bincount(name, times * ~held[doc], n).astype(np.int64)
-    entries = -(-times // 255)
-    many = np.repeat(np.arange(len(keys)), entries)
-    last = np.r_[np.flatnonzero(np.diff(many)), len(many) - 1] if len(many) else np.zeros(0, int)
-    posts = doc[many] * 256 + 255
-    posts[last] = doc * 256 + times - 255 * (entries - 1)
-    return train, posts, np.r_[0, np.cumsum(np.bincount(name, entries, n).astype(np.int64))]
-
-
-def scored_words(docs: DataFrame, block_bytes: int = 1 << 21) -> DataFrame:
-    """Rows of three kinds, from columns key, text (binary), held_out. For a word of a block: word, train (its count there in
-    training documents), posts (number in block * 256 + times, more than 255 times in several entries). For a gram of a
-    block: word (its name), posts. For a document: word is a blank and two numbers, which no word can be, and doc_id,
-    n_tokens, held_out are set."""
-    schema = "word binary, block long, train long, posts array<int>, doc_id long, held_out boolean, n_tokens long"
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(f">u{width}").ravel().astype(kind)
+
+
+def packed_text(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+
+
+def unpacked_text(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b""
+
+
+def ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def turned(grams: np.ndarray) -> np.ndarray:
+    """Grams with the nearest four bytes first, so that a bucket's are close together; straight() turns them back."""
+    near, far, byte = grams >> np.uint64(8) & np.uint64(0xFFFFFFFF), grams >> np.uint64(40), grams & np.uint64(255)
+    return near << np.uint64(32) | far << np.uint64(8) | byte
+
+
+def straight(keys: np.ndarray) -> np.ndarray:
+    near, far, byte = keys >> np.uint64(32), keys >> np.uint64(8) & np.uint64(0xFFFFFF), keys & np.uint64(255)
+    return far << np.uint64(40) | near << np.uint64(8) | byte
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of turned grams by bucket, ascending in each, and the bounds of the buckets in it."""
+    mixed = (keys >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+    bucket = (mixed * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    return np.argsort(bucket, kind="stable"), np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
+
+
+def words_by_bucket(words: set[bytes], buckets: int) -> list[list[bytes]]:
+    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    for w in sorted(words):
+        out[zlib.crc32(w) % buckets].append(w)
+    return out
+
+
+def blocks_of(docs: DataFrame, size: int = 1 << 23) -> DataFrame:
+    """Documents in blocks, from columns key, text (binary), held_out: keys, held and lengths of a block's documents, and
+    their normal texts, packed."""
+    typed = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("text", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), count()
-        typed = pa.schema([("word", pa.binary()), ("block", pa.int64()), ("train", pa.int64()), ("posts", pa.list_(pa.int32())), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())])
-
-        def sent(names: pa.Array, block: int, train: np.ndarray, posts: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(names), 50_000):
-                k = min(i + 50_000, len(names))
-                a, b = bounds[i], bounds[k]
-                lists = pa.ListArray.from_arrays(pa.array((bounds[i : k + 1] - a).astype(np.int32)), pa.array(posts[a:b].astype(np.int32)))
-                none = [pa.nulls(k - i, t) for t in typed.types[4:]]
-                yield pa.RecordBatch.from_arrays([names[i:k], pa.array(np.full(k - i, block)), pa.array(train[i:k]), lists, *none], schema=typed)
-
-        for ids, texts, held in parts_of(batches, block_bytes):
-            block, numbers, ids_of, whole = task * (1 << 24) + next(number), {}, [], []
-            give = numbers.setdefault
-            for t in texts:
-                words = normal(t)
-                ids_of.append(np.fromiter((give(w, len(numbers)) for w in words), np.int64, len(words)))
-                whole.append(b" ".join(words) + END)
-            lengths, docs_here, out = list(map(len, ids_of)), len(texts), np.array(held, bool)
-            yield from sent(pa.array(list(numbers), pa.binary()), block, *posted(np.concatenate(ids_of), np.repeat(np.arange(docs_here), lengths), out, len(numbers)))
-            grams, place = np.unique(grams_of(whole), return_inverse=True)
-            _, posts, bounds = posted(place, np.repeat(np.arange(docs_here), list(map(len, whole))), out, len(grams))
-            del place, whole
-            yield from sent(named(grams), block, np.zeros(len(grams), np.int64), posts, bounds)
-            own = pa.ListArray.from_arrays(pa.array(np.arange(docs_here + 1, dtype=np.int32)), pa.array((np.arange(docs_here) * 256).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b" %d %d" % (block, i) for i in range(docs_here)], pa.binary()), pa.array(np.full(docs_here, block)), pa.array(np.zeros(docs_here, np.int64)), own,
-                 pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.array(lengths, np.int64) + 1)], schema=typed)
-
-    return docs.mapInArrow(run, schema)
+        for keys, texts, held in parts_of(batches, size):
+            whole = [b" ".join(normal(t)) + END for t in texts]
+            row = {"block": task * (1 << 24) + next(number), "keys": keys, "held": held, "lengths": list(map(len, whole)), "text": packed_text(b"".join(whole))}
+            yield pa.RecordBatch.from_pylist([row], schema=typed)
+
+    return docs.mapInArrow(run, "block long, keys array<long>, held array<boolean>, lengths array<long>, text binary")
+
+
+def whole_texts(lengths: list[int], text: bytes) -> list[bytes]:
+    data, ends = unpacked_text(text), np.cumsum(lengths).tolist()
+    return [data[e - n : e] for e, n in zip(ends, lengths, strict=True)]
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time, so that one block or bucket is held as Python objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def asked(blocks: DataFrame, buckets: int) -> DataFrame:
+    """What blocks ask of buckets: grams and n, words and times, n and times being counts in training documents."""
+    schema = "bucket int, block long, grams binary, n binary, words binary, times binary"
+    typed = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("grams", "n", "words", "times")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            whole, held = whole_texts(row["lengths"], row["text"]), row["held"]
+            train, times = np.unique(turned(grams_of([t for t, out in zip(whole, held, strict=True) if not out])), return_counts=True)
+            keys = np.union1d(train, turned(grams_of([t for t, out in zip(whole, held, strict=True) if out])))
+            n = np.zeros(len(keys), np.uint32)
+            n[np.searchsorted(keys, train)] = times
+            order, bounds = by_bucket(keys, buckets)
+            keys, n, counts, words = keys[order], n[order], Counter(), set()
+            for t, out in zip(whole, held, strict=True):
+                words.update(t.split()) if out else counts.update(t.split())
+            rows = []
+            for bucket, names in enumerate(words_by_bucket(words | counts.keys(), buckets)):
+                a, b = bounds[bucket], bounds[bucket + 1]
+                if a < b or names:
+                    grams = np.diff(keys[a:b], prepend=np.uint64(0))
+                    rows.append({"bucket": bucket, "block": row["block"], "grams": packed(grams), "n": packed(n[a:b]), "words": packed_text(b" ".join(names)), "times": packed(np.array([counts[w] for w in names], np.uint64))})
+            yield pa.RecordBatch.from_pylist(rows, schema=typed)
+
+    return blocks.select("block", "held", "lengths", "text").mapInArrow(run, schema)
+
+
+def added_up(questions: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """A bucket's distinct grams, turned and ascending, their training counts, and its words with theirs."""
+    keys, n, parts, waiting, words = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, Counter()
+    for i, q in enumerate(questions):
+        parts.append((ascending(q["grams"]), unpacked(q["n"], np.uint32).astype(np.int64)))
+        waiting += len(parts[-1][0])
+        for w, c in zip(unpacked_text(q["words"]).split(), unpacked(q["times"], np.uint64).tolist(), strict=True):
+            words[w] += c
+        if waiting > max(len(keys), 1 << 21) or i + 1 == len(questions):  # sorted runs, merged when as long as what is there
+            found, times = np.concatenate([keys, *(p[0] for p in parts)]), np.concatenate([n, *(p[1] for p in parts)])
+            order = np.argsort(found, kind="stable")
+            found, times = found[order], times[order]
+            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])
+            keys, n = found[first], np.add.reduceat(times, first) if len(first) else times
+            parts, waiting = [], 0
+    return keys, n, words
+
+
+def in_order(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    grams = straight(keys)
+    order = np.argsort(grams)
+    return grams[order], n[order], order
+
+
+def model_of(questions: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int, int]:
+    """Class contexts' part of the model: the cells that grams use, sorted, and their values. Also the distinct words of
+    training and how many words it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            keys, n, words = added_up(row["questions"])
+            totals = [sum(c > 0 for c in words.values()), sum(words.values())]
+            yield pa.RecordBatch.from_pydict({"cell": pa.array([-1, -2], pa.int32()), "n": pa.array(totals, pa.int64()), "deeper": pa.array([0.0, 0.0])})
+            if not len(keys):
+                continue
+            grams, n, _ = in_order(keys, n)
+            names, at = np.unique(class_contexts(grams), return_inverse=True)
+            counts = np.bincount(at * 256 + (grams & np.uint64(255)).astype(np.int64), n)
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array((names[used // 256] * 256 + used % 256).astype(np.int32)), "n": pa.array(counts[used].astype(np.int64)), "deeper": pa.array(np.zeros(len(used)))})
+            for _, place, inside, _ in decisions(grams, n):
+                cell, at = np.unique(place, return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(cell.astype(np.int32)), "n": pa.array(np.zeros(len(cell), np.int64)), "deeper": pa.array(np.bincount(at, inside, len(cell)))})
+
+    found = questions.select("questions").mapInArrow(run, "cell int, n long, deeper double")
+    found = found.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("deeper").alias("deeper")).toArrow()  # at most CELLS rows and two
+    cell, n_of, below = (found.column(c).to_numpy() for c in ("cell", "n", "deeper"))
+    distinct, total = (int(n_of[cell == i].sum()) for i in (-1, -2))
+    counts, deeper, real = np.zeros(CELLS, np.int64), np.zeros(CELLS), cell >= 0
+    counts[cell[real]], deeper[cell[real]] = n_of[real], below[real]
+    used = np.unique(cell[real])
+    return (used, weighted(counts, deeper)[used]), distinct, total
+
+
+def answers_of(questions: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """For each block that asked a bucket: of its grams the log10 probabilities, negated, in 1 / STEPS; of its words the
+    training counts."""
+    sent = questions.sparkSession.sparkContext.broadcast(model)
+    typed = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, values = sent.value
+        for row in rows_of(batches):
+            keys, n, words = added_up(row["questions"])
+            steps = np.zeros(len(keys), np.uint32)
+            if len(keys):
+                grams, n, order = in_order(keys, n)
+                context, byte, logs = class_contexts(grams) * 256, (grams & np.uint64(255)).astype(np.int64), np.zeros(len(grams))
+                for bit, _, _, p in decisions(grams, n):
+                    top, taken = values[np.searchsorted(cell, context + (1 << bit) + (byte >> (8 - bit)))], byte >> (7 - bit) & 1
+                    logs += np.log10(np.where(taken == 1, top[:, 1], top[:, 0]) + top[:, 2].astype(np.float64) * p)
+                steps[order] = np.rint(np.maximum(-logs, 0.0) * STEPS)
+            for q in row["questions"]:
+                logs = packed(steps[np.searchsorted(keys, ascending(q["grams"]))])
+                counts = np.array([words[w] for w in unpacked_text(q["words"]).split()], np.uint64)
+                yield pa.RecordBatch.from_pylist([{"block": q["block"], "bucket": row["bucket"], "logs": logs, "counts": packed(counts)}], schema=typed)
+
+    return questions.mapInArrow(run, "block long, bucket int, logs binary, counts binary")
+
+
+def sums_of(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """key, held_out, n_tokens, known, base (sum of log10 (count + 1) of words), score of every document."""
+
+    def run(block: pa.Table, answered: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        whole, by_number = whole_texts(row["lengths"], row["text"]), {a["bucket"]: a for a in answered.to_pylist()}
+        keys, place = np.unique(turned(grams_of(whole)), return_inverse=True)
+        order, _ = by_bucket(keys, buckets)
+        logs = np.zeros(len(keys))
+        logs[order] = np.concatenate([unpacked(by_number[i]["logs"], np.uint32) for i in sorted(by_number)]) / -STEPS
+        lengths = np.array(row["lengths"], np.int64)
+        score = np.add.reduceat(logs[place], np.cumsum(lengths) - lengths)  # every text has its end, so none is empty
+        del keys, place, order, logs
+        split = [t.split() for t in whole]
+        count_of = {}
+        for i, names in enumerate(words_by_bucket(set().union(*split), buckets)):
+            if names:
+                count_of.update(zip(names, unpacked(by_number[i]["counts"], np.uint64).tolist(), strict=True))
+        counts = [np.fromiter(map(count_of.__getitem__, words), np.float64, len(words)) for words in split]
+        return pa.table({
+            "key": pa.array(row["keys"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array([len(w) + 1 for w in split], pa.int64()),
+            "known": pa.array([int((c > 0).sum()) for c in counts], pa.int64()), "base": pa.array([float(np.log10(c + 1).sum()) for c in counts]), "score": pa.array(score)})
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "key long, held_out boolean, n_tokens long, known long, base double, score double")
 
 
 def scored(docs: DataFrame, held_out, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     cut = docs.select(F.col("doc_id").cast("long").alias("key"), F.col(text).cast("binary").alias("text"), held_out.alias("held_out"))
-    size = cut.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 22)
-    grams = shared.written(gathered(cut), "grams")
-    logs = probabilities(grams, model_of(grams, buckets), buckets)
-    rows = scored_words(cut).unionByName(logs, allowMissingColumns=True)
-    by_word = Window.partitionBy("word")
-    totals = rows.withColumns({"c": F.sum("train").over(by_word), "first": F.min("block").over(by_word), "log": F.max("log").over(by_word)})
-    posts = totals.select("block", "c", "log", "doc_id", "held_out", "n_tokens", F.explode("posts").alias("post"))
-    at, times = F.shiftright("post", 8), F.col("post").bitwiseAND(255)
-    log = F.log10(F.col("c") + 1)
-    shares = posts.select("block", at.alias("at"), (times * log).alias("sum"), F.when(F.col("c") > 0, times).otherwise(0).cast("long").alias("known"), (times * F.coalesce("log", F.lit(0.0))).alias("score"), "doc_id", "held_out", "n_tokens")
-    # one extra group counts the distinct words of training: each is counted in the first block that has it
-    distinct = totals.filter((F.col("c") > 0) & (F.col("block") == F.col("first"))).select(
-        F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("at"), F.lit(0.0).alias("sum"), F.lit(1).cast("long").alias("known"), F.lit(0.0).alias("score"), *[F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"))])
-    sums = shares.unionByName(distinct).groupBy("block", "at").agg(F.sum("sum").alias("sum"), F.sum("known").alias("known"), F.sum("score").alias("score"), *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")])
-    sums = shared.written(sums, "sums")
-    words, tokens, ends = sums.agg(F.max(F.when(F.col("block") == -1, F.col("known"))), F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.count(F.when(~F.col("held_out"), 1))).first()
-    n, v, end = tokens or 0, (words or 0) + (1 if ends else 0), ends or 0
+    size, ends = cut.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.when(~F.col("held_out"), 1))).first()
+    buckets = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 23)
+    blocks = shared.written(blocks_of(cut), "blocks", compression="uncompressed")
+    with shared.shuffles_removed(cut.sparkSession):
+        together = asked(blocks, buckets).repartition(buckets, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("block", "grams", "n", "words", "times")).alias("questions"))
+        questions = shared.written(together, "questions", compression="uncompressed")
+    model, distinct, words = model_of(questions)
+    n, v = words + ends, distinct + (1 if ends else 0)
     below = float(n + v + 1)
-    return sums.filter("block >= 0").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + (1 if end else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("sum") + F.log10(F.lit(end + 1.0)) - F.col("n_tokens") * F.log10(F.lit(below))).alias("base_score"), "score",
+    return sums_of(blocks, answers_of(questions, model), buckets).select(
+        F.col("key").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.log10(F.lit(ends + 1.0)) - F.col("n_tokens") * F.log10(F.lit(below))).alias("base_score"), "score",
     )
 
 
