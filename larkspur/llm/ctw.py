@@ -222,7 +222,7 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
 
 
 def packed_text(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+    return len(data).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=6).compress(data, asbytes=True) if data else b"")
 
 
 def unpacked_text(data: bytes) -> bytes:
@@ -245,6 +245,20 @@ def straight(keys: np.ndarray) -> np.ndarray:
     return far << np.uint64(40) | near << np.uint64(8) | byte
 
 
+def first_ones(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of ordered numbers differs from the one before."""
+    return np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)]
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """An ascending order of 64-bit keys, by their lower and then their upper halves, each sorted with its place behind it;
+    plain sorts of numbers are several times faster than argsort."""
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    places = np.arange(len(keys), dtype=np.uint64)
+    order = (np.sort(keys << half | places) & low).astype(np.int64)
+    return order[(np.sort(keys[order] >> half << half | places) & low).astype(np.int64)]
+
+
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of turned grams by bucket, ascending in each, and the bounds of the buckets in it."""
     mixed = (keys >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
@@ -295,7 +309,8 @@ def asked(blocks: DataFrame, buckets: int) -> DataFrame:
         for row in rows_of(batches):
             whole, held = whole_texts(row["lengths"], row["text"]), row["held"]
             train, times = np.unique(turned(grams_of([t for t, out in zip(whole, held, strict=True) if not out])), return_counts=True)
-            keys = np.union1d(train, turned(grams_of([t for t, out in zip(whole, held, strict=True) if out])))
+            keys = np.sort(np.concatenate([train, turned(grams_of([t for t, out in zip(whole, held, strict=True) if out]))]))
+            keys = keys[first_ones(keys)]
             n = np.zeros(len(keys), np.uint32)
             n[np.searchsorted(keys, train)] = times
             order, bounds = by_bucket(keys, buckets)
@@ -325,7 +340,7 @@ def added_up(questions: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[bytes,
             found, times = np.concatenate([keys, *(p[0] for p in parts)]), np.concatenate([n, *(p[1] for p in parts)])
             order = np.argsort(found, kind="stable")
             found, times = found[order], times[order]
-            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])
+            first = np.flatnonzero(first_ones(found))
             keys, n = found[first], np.add.reduceat(times, first) if len(first) else times
             parts, waiting = [], 0
     return keys, n, words
@@ -333,7 +348,7 @@ def added_up(questions: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[bytes,
 
 def in_order(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams = straight(keys)
-    order = np.argsort(grams)
+    order = order_of(grams)
     return grams[order], n[order], order
 
 
@@ -399,7 +414,12 @@ def sums_of(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     def run(block: pa.Table, answered: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         whole, by_number = whole_texts(row["lengths"], row["text"]), {a["bucket"]: a for a in answered.to_pylist()}
-        keys, place = np.unique(turned(grams_of(whole)), return_inverse=True)
+        grams = turned(grams_of(whole))
+        order = order_of(grams)
+        keys = grams[order]
+        first, place = first_ones(keys), np.empty(len(grams), np.int32)
+        keys, place[order] = keys[first], np.cumsum(first, dtype=np.int32) - 1
+        del grams, first
         order, _ = by_bucket(keys, buckets)
         logs = np.zeros(len(keys))
         logs[order] = np.concatenate([unpacked(by_number[i]["logs"], np.uint32) for i in sorted(by_number)]) / -STEPS
