@@ -28,6 +28,7 @@ from . import shared
 
 MARK = "▁"  # the vocabulary's mark of a word's start
 OUTSIDE = -14.0  # log probability of a character that no piece covers
+GRAIN = float(1 << 24)  # expected counts are multiples of 1 / GRAIN, so that their sums are the same in any order
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -98,6 +99,7 @@ def expected(found: np.ndarray, lengths: np.ndarray, weight: np.ndarray, logs: n
     for t in range(width):
         for k in range(min(t + 1, longest)):
             share = np.exp(alpha[t - k] + logs[found[:, t, k]] + beta[t + 1] - total) * weight
+            share = np.rint(share * GRAIN) / GRAIN
             ok = (t < lengths) & np.isfinite(share)
             np.add.at(counts, found[ok, t, k], share[ok])
     return counts[:-1]
@@ -180,7 +182,8 @@ class Model:
 
 def trained(labelled: DataFrame, bound: int = 1_500, rounds: int = 3, longest: int = 5) -> Model:
     """Fits on about `bound` rows (text, lang, doc_id) of each language, chosen by a hash of doc_id; lang and text are not
-    null. Words are counted by language in Spark; every word of the sample takes part."""
+    null. Words are counted by language in Spark, and each round's expected counts are summed there; every word of the
+    sample takes part."""
     labelled, steps = labelled.select("doc_id", "text", "lang"), 1 << 40
     shares = [x for r in labelled.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(int(steps * min(1.0, bound / r["count"]))))]
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(steps))
@@ -195,24 +198,44 @@ def trained(labelled: DataFrame, bound: int = 1_500, rounds: int = 3, longest: i
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": pa.array(list(found.values()), pa.int64())})
 
     totals = some.select("text", "lang").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    spark = labelled.sparkSession
+    totals, path = shared.written_at(totals.repartition(2 * spark.sparkContext.defaultParallelism, "lang", "word"), "words")
+    languages = sorted(r["lang"] for r in totals.select("lang").distinct().collect())
     pieces = vocabulary(longest=longest)
-    by: dict[str, list[tuple[str, int]]] = {}
-    for lang, word, n in totals.collect():  # words of the bounded sample
-        by.setdefault(lang, []).append((word, n))
-    languages, segments, columns = sorted(by), Segments(pieces, longest), []
-    for lang in languages:
-        words = sorted(by[lang], key=lambda x: (len(x[0]), x[0]))
-        parts = []
-        for i, end in parts_by_size([w for w, _ in words]):
-            found, lengths = segments.of([w for w, _ in words[i:end]])
-            parts.append((found, lengths, np.array([n for _, n in words[i:end]], float)))
-        logs = np.full(len(pieces) + 1, -np.log(len(pieces)))
-        logs[-1] = -np.inf
-        for _ in range(rounds):
-            counts = sum(expected(*part, logs, OUTSIDE) for part in parts) + 0.05
-            logs[:-1] = np.log(counts / counts.sum())
-        columns.append(logs)
-    return Model(languages, np.stack(columns, axis=1) if columns else np.zeros((len(pieces) + 1, 0)), pieces, longest)
+    logs = np.full((len(pieces) + 1, len(languages)), -np.log(len(pieces)))
+    logs[-1] = -np.inf
+    for _ in range(rounds if languages else 0):
+        counts = np.zeros((len(pieces), len(languages)))
+        for batch in expected_by_piece(totals, Model(languages, logs, pieces, longest)).toArrow().to_batches():
+            counts[batch.column("piece").to_numpy(), batch.column("lang").to_numpy()] = batch.column("n").to_numpy()
+        counts += 0.05
+        logs = np.vstack([np.log(counts / counts.sum(axis=0)), np.full(len(languages), -np.inf)])
+    shared.remove(spark, path)
+    return Model(languages, logs, pieces, longest)
+
+
+def expected_by_piece(totals: DataFrame, model: Model) -> DataFrame:
+    """lang and piece (numbers) with the expected count `n` of the piece over the words (lang, word, n) of totals, where
+    it is above 0. The driver gets pieces by language, never words."""
+    sent = totals.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.pieces, model.longest, model.outside))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, logs, pieces, longest, outside = sent.value
+        by: dict[str, list[tuple[str, int]]] = {}
+        for batch in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by.setdefault(lang, []).append((word, n))
+        segments = Segments(pieces, longest)
+        for j, lang in enumerate(languages):
+            words = sorted(by.get(lang, []), key=lambda x: (len(x[0]), x[0]))
+            counts = np.zeros(len(pieces))
+            for i, end in parts_by_size([w for w, _ in words]):
+                found, lengths = segments.of([w for w, _ in words[i:end]])
+                counts += expected(found, lengths, np.array([n for _, n in words[i:end]], float), np.ascontiguousarray(logs[:, j]), outside)
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(some), j, np.int32)), "piece": pa.array(some.astype(np.int32)), "n": pa.array(counts[some])})
+
+    return totals.select("lang", "word", "n").mapInArrow(run, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 _models: dict[int, Model] = {}
