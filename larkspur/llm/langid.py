@@ -128,15 +128,20 @@ def parts_by_size(words: list[str], most: int = 4_000, cells: int = 400_000) ->
 
 
 class Model:
-    """Scores texts; caches the log-likelihoods of at most about `cached` white-space separated tokens."""
+    """Scores texts; caches the log-likelihoods of at most about `cached` white-space separated tokens. A full cache keeps
+    the quarter that was used most; results do not depend on it."""
 
-    def __init__(self, languages: list[str], logs: np.ndarray, pieces: dict[str, int], longest: int, outside: float = OUTSIDE, cached: int = 700_000):
+    def __init__(self, languages: list[str], logs: np.ndarray, pieces: dict[str, int], longest: int, outside: float = OUTSIDE, cached: int = 200_000):
         self.languages, self.logs, self.pieces, self.longest, self.outside, self.cached = languages, logs, pieces, longest, outside, cached
-        self.forget()
-
-    def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.values = np.zeros((0, len(self.languages) + 1))
+        self.values, self.used = np.zeros((0, len(languages) + 1)), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.cached // 4])
+        place = np.full(len(self.used), -1)
+        place[keep] = np.arange(len(keep))
+        self.rows = {t: p for t, p in zip(self.rows, place.tolist(), strict=True) if p >= 0}
+        self.values, self.used = self.values[keep], self.used[keep] // 2
 
     def learn(self, tokens: set[str]) -> None:
         """Caches the sums over each token's words by language, and in a last column the number of its words."""
@@ -152,7 +157,7 @@ class Model:
         np.add.at(sums[:, :-1], owner, known[flat])
         np.add.at(sums[:, -1], owner, 1)
         self.rows.update(zip(parts, range(len(self.rows), len(self.rows) + len(parts)), strict=True))
-        self.values = np.concatenate([self.values, sums])
+        self.values, self.used = np.concatenate([self.values, sums]), np.concatenate([self.used, np.zeros(len(sums), np.int64)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text and its posterior probability under equal priors."""
@@ -164,12 +169,15 @@ class Model:
         found = list(map(self.rows.get, flat))
         unseen = {w for w, r in zip(flat, found, strict=True) if r is None}
         if len(self.rows) + len(unseen) > self.cached:
-            self.forget()
-            unseen, found = set(flat), [None] * len(flat)
+            self.trim()
+            found = list(map(self.rows.get, flat))
+            unseen = {w for w, r in zip(flat, found, strict=True) if r is None}
         if unseen:
             self.learn(unseen)
             found = [self.rows[w] if r is None else r for w, r in zip(flat, found, strict=True)]
-        sums = np.add.reduceat(self.values[np.array(found)], np.cumsum([0, *(len(ws) for _, ws in some)])[:-1], axis=0)
+        found = np.array(found)
+        self.used += np.bincount(found, minlength=len(self.used))
+        sums = np.add.reduceat(self.values[found], np.cumsum([0, *(len(ws) for _, ws in some)])[:-1], axis=0)
         words, sums = sums[:, -1], sums[:, :-1]
         best = sums.argmax(axis=1)
         share = np.exp(sums - sums.max(axis=1, keepdims=True))
