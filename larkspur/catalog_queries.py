@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.semantics import int_div, real_div, truthy
 from .operators.aggregates import frequent, grouped, top
-from .operators.joins import inner
+from .operators.joins import inner, inner_on
 from .operators.order import pairs_below
 from .sources.tables import table
 
@@ -216,7 +216,9 @@ def join_4way(t):
 
 @query("SELECT s_suppkey, c_custkey FROM supplier, nation, customer WHERE s_nationkey = n_nationkey AND n_nationkey = c_nationkey AND n_nationkey < 3")
 def equiv_transitive(t):
-    pairs = inner(t.supplier, t.customer, c("s_nationkey") == c("c_nationkey"))  # the edge that the two equalities imply
+    # the edge and the bounds that the two equalities imply
+    suppliers, customers = t.supplier.filter(c("s_nationkey") < 3).select("s_suppkey", "s_nationkey"), t.customer.filter(c("c_nationkey") < 3).select("c_custkey", "c_nationkey")
+    pairs = inner_on(suppliers, customers, "s_nationkey", "c_nationkey")
     return inner(pairs, t.nation.filter(c("n_nationkey") < 3), (c("s_nationkey") == c("n_nationkey")) & (c("c_nationkey") == c("n_nationkey")), "lookup").select("s_suppkey", "c_custkey")
 
 

@@ -2,12 +2,15 @@
 
 Conditions of WHERE and ON form one pool of conjuncts. Column equalities are closed into classes, and every implied
 equality between two relations becomes a join condition, so that Spark may join any two members of a class directly.
-Filters on one relation go below the joins; the rest is Spark's planning.
+Filters on one relation go below the joins; comparisons with a literal hold for all of a class. A join whose keys repeat on
+both sides is dealt by its expected rows, for which the relations that may have such keys are counted. The rest is Spark's planning.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions.semantics import int_div, real_div, truthy
 from ..operators.aggregates import grouped
-from ..operators.joins import inner
+from ..operators.joins import counted, dealt, inner, many, planned_bytes, width
 from .syntax import Expr, Select
 
 AGGREGATES = ("count", "sum", "avg", "min", "max")
@@ -168,6 +171,51 @@ def equal_classes(equalities: list[tuple[Expr, Expr]]) -> list[list[Expr]]:
     return [sorted(xs, key=str) for xs in by.values()]
 
 
+def implied(filters: dict[str, list[Expr]], classes: list[list[Expr]], scope: Scope) -> dict[str, list[Expr]]:
+    """Comparisons with a literal, for the other columns of the class that have the column's type."""
+    kind = lambda x: scope.columns[x.args[0]][x.args[1]]
+    out: dict[str, list[Expr]] = {}
+    for group in classes:
+        for x, y in ((x, y) for x in group for y in group if x.args[0] != y.args[0] and kind(x) == kind(y)):
+            for f in filters.get(x.args[0], []):
+                if f.kind == "cmp" and x in f.args and any(isinstance(a, Expr) and a.kind == "lit" for a in f.args):
+                    out.setdefault(y.args[0], []).append(Expr("cmp", tuple(y if a == x else a for a in f.args)))
+    return out
+
+
+class Sizes:
+    """Expected rows of joins of relations: their rows by the distinct values of each class. A relation is counted when it is
+    first asked about. Keys are taken as evenly frequent, so of a key far above the mean of its column nothing is known."""
+
+    def __init__(self, frames: dict[str, DataFrame], classes: list[list[Expr]]):
+        self.columns = {a: sorted({x.args[1] for g in classes for x in g if x.args[0] == a}) for a in frames}
+        self.classes = classes
+        self.count = cache(lambda a: counted(frames[a], [f"{a}.{c}" for c in self.columns[a]]))
+        self.bytes = cache(lambda a: planned_bytes(frames[a]))
+
+    def distinct(self, group: list[Expr], aliases: set[str]) -> list[int]:
+        """Of a class, in each of the relations that have it."""
+        by: dict[str, int] = {}
+        for x in group:
+            if (a := x.args[0]) in aliases:
+                by[a] = min(by.get(a, 1 << 63), self.count(a)[1][f"{a}.{x.args[1]}"])
+        return sorted(by.values())
+
+    def rows(self, aliases: set[str]) -> float:
+        return math.prod(self.count(a)[0] for a in aliases) / math.prod(d for g in self.classes for d in self.distinct(g, aliases)[1:])
+
+    def groups(self, done: set[str], alias: str) -> float | None:
+        """Keys of the join of a relation with others if it makes many rows of them. The smaller side is counted first: where
+        its keys do not repeat, the other is not read."""
+        both = [g for g in self.classes if (at := {x.args[0] for x in g}) & done and alias in at]
+        for side in sorted((done, {alias}), key=lambda s: sum(map(self.bytes, s))):
+            if self.rows(side) < 2 * max(self.distinct(g, side)[0] for g in both):
+                return None
+        if not many(self.rows(done | {alias}), self.rows(done), self.rows({alias})):
+            return None
+        return math.prod(self.distinct(g, done | {alias})[0] for g in both)
+
+
 def joined(select: Select, frames: dict[str, DataFrame], layouts: dict[str, dict[str, DataFrame]], scope: Scope, strategy: str | None, bound: Bound) -> DataFrame:
     pool = [c for e in select.conditions for c in conjuncts(scope.qualified(e))]
     if any(has_aggregate(c) for c in pool):
@@ -186,8 +234,8 @@ def joined(select: Select, frames: dict[str, DataFrame], layouts: dict[str, dict
         else:
             across.append((used, test))
             bound.complex.append(c)
-    edges = []
-    for group in equal_classes(equalities):
+    edges, pairs, classes = [], [], equal_classes(equalities)
+    for group in classes:
         bound.classes.append([x.args for x in group])
         for a, b in combinations(group, 2):  # at most 16 relations' columns
             test = compiled(Expr("cmp", ("=", a, b)), leaf).test()
@@ -195,27 +243,38 @@ def joined(select: Select, frames: dict[str, DataFrame], layouts: dict[str, dict
                 bound.filters.setdefault(a.args[0], []).append(Expr("cmp", ("=", a, b)))
             else:
                 edges.append(({a.args[0], b.args[0]}, test))
+                pairs.append((a.args, b.args))
     aliases = [alias for _, alias in select.relations]
-    ready = {}
+    ready, more = {}, implied(bound.filters, classes, scope)
     for alias in aliases:
         # the layout of an indexed column that is filtered, if there is one
         used = sorted(x.args[1] for f in bound.filters.get(alias, []) for x in columns_of(f))
         df = next((layouts[alias][x] for x in used if x in layouts[alias]), frames[alias])
         df = df.select(*[F.col(f"`{c}`").alias(f"{alias}.{c}") for c in scope.columns[alias]])
-        for c in bound.filters.get(alias, []):
+        for c in bound.filters.get(alias, []) + more.get(alias, []):
             df = df.filter(compiled(c, leaf).test())
         ready[alias] = df
+    every = [*(e for e, _ in select.items), *select.group, *(e for e, _ in select.order), *select.conditions]
+    read = None if None in every else {x.args[1] for e in every for x in columns_of(e)}
+    wide = lambda among: width([k for a in among for c, k in scope.columns[a].items() if read is None or c in read])
+    sizes = Sizes(ready, classes)
     done, waiting, out = {aliases[0]}, aliases[1:], ready[aliases[0]]
     while waiting:  # the next relation that an equality connects, else one that any condition does, else the next
         touches = lambda a, conditions: any(a in used and used <= done | {a} for used, _ in conditions)
         alias = next((a for a in waiting if touches(a, edges)), None) or next((a for a in waiting if touches(a, across)), waiting[0])
         waiting.remove(alias)
-        done = done | {alias}
+        before, done = done, done | {alias}
         on = None
         for used, test in edges + across:
             if alias in used and used <= done:
                 on = test if on is None else on & test
-        out = inner(out, ready[alias], on, strategy if any(alias in used and used <= done for used, _ in edges) else None)
+        linked = any(alias in used and used <= done for used, _ in edges)
+        if linked and strategy != "nestloop" and (groups := sizes.groups(before, alias)):
+            ends = [x if x[0][0] == alias else x[::-1] for x in pairs if alias in (at := {a for a, _ in x}) and at <= done]
+            keys = [(".".join(b), ".".join(a)) for a, b in ends]
+            out = dealt(out, ready[alias], on, keys, sizes.rows(done), groups, (sizes.rows(before), sizes.rows({alias})), (wide(before), wide({alias})), strategy)
+        else:
+            out = inner(out, ready[alias], on, strategy if linked else None)
     for test in always:
         out = out.filter(test)
     return out
