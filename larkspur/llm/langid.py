@@ -29,7 +29,7 @@ from . import shared
 MARK = "▁"  # the vocabulary's mark of a word's start
 OUTSIDE = -14.0  # log probability of a character that no piece covers
 GRAIN = float(1 << 24)  # expected counts are multiples of 1 / GRAIN, so that their sums are the same in any order
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS, NOT_LETTERS_IN_LINE = re.compile(r"[\W\d_]+"), re.compile(r"(?:[^\w\n]|[\d_])+")
 
 
 def vocabulary(name: str = "piece_bpe_32k.model", longest: int = 5) -> dict[str, int]:
@@ -46,23 +46,44 @@ def vocabulary(name: str = "piece_bpe_32k.model", longest: int = 5) -> dict[str,
 
 
 class Segments:
-    """Piece numbers of all substrings of words, by length, for words of one padded width."""
+    """Piece numbers of all substrings of words, by length, for words of one padded width. The pieces' prefixes are the
+    nodes of a tree: 0 leads nowhere, and `rows` has the children of those that have any but the root."""
 
     def __init__(self, pieces: dict[str, int], longest: int):
-        self.pieces, self.longest, self.none = pieces, longest, len(pieces)
+        self.longest, self.none = longest, len(pieces)
+        pieces = {p: i for p, i in pieces.items() if 0 < len(p) <= longest}
+        prefixes = dict.fromkeys(p[:k] for p in pieces for k in range(1, len(p) + 1))
+        inner = dict.fromkeys(p[:-1] for p in prefixes if len(p) > 1)
+        nodes = {p: i for i, p in enumerate([*inner, *(p for p in prefixes if p not in inner)], 1)}
+        later = {c: i for i, c in enumerate(sorted({p[-1] for p in prefixes if len(p) > 1}), 1)}
+        letters = later | {c: i for i, c in enumerate(sorted({p[0] for p in prefixes} - later.keys()), len(later) + 1)}
+        self.inner, self.later = len(inner), len(later)
+        self.letter = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)  # ends with one for all beyond
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.root, self.rows = np.zeros(len(letters) + 1, np.int32), np.zeros((self.inner + 1, self.later + 1), np.int32)
+        for p, node in nodes.items():
+            if len(p) == 1:
+                self.root[letters[p]] = node
+            else:
+                self.rows[nodes[p[:-1]], later[p[-1]]] = node
+        self.piece = np.array([self.none, *(pieces.get(p, self.none) for p in nodes)], np.int32)
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """found[w, t, k]: the piece that ends after character t and has k+1 characters (`none` if there is none)."""
-        width, get, none, longest = max(map(len, words)), self.pieces.get, self.none, self.longest
-        found = np.full((len(words), width, longest), none, np.int32)
-        for i, word in enumerate(words):
-            row = found[i]
-            for t in range(len(word)):
-                for k in range(min(t + 1, longest)):
-                    p = get(word[t - k : t + 1])
-                    if p is not None:
-                        row[t, k] = p
-        return found, np.array([len(w) for w in words])
+        lengths = np.array([len(w) for w in words])
+        n, width = len(words), int(lengths.max())
+        places = np.arange(width) < lengths[:, None]
+        letters = np.zeros((n, width), np.int32)
+        letters[places] = self.letter[np.minimum(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4"), len(self.letter) - 1)]
+        found = np.full((n, width, self.longest), self.none, np.int32)
+        nodes = self.root[letters]
+        found[:, :, 0] = self.piece[nodes]
+        letters[letters > self.later] = 0
+        for k in range(1, min(width, self.longest)):
+            nodes = nodes[:, :-1]
+            nodes = self.rows[np.where(nodes <= self.inner, nodes, 0), letters[:, k:]]
+            found[:, k:, k] = self.piece[nodes]
+        return found, lengths
 
 
 def forward(found: np.ndarray, lengths: np.ndarray, logs: np.ndarray, outside: float) -> np.ndarray:
@@ -114,6 +135,12 @@ def words_of(text: str) -> list[str]:
     return [MARK + w for w in words]
 
 
+def words_of_tokens(tokens: list[str]) -> list[list[str]]:
+    """words_of each of many tokens that have no white space and are in lower case."""
+    parts = [t.split() for t in NOT_LETTERS_IN_LINE.sub(" ", "\n".join(tokens)).split("\n")] if tokens else []
+    return [[MARK + w for w in ws] if all(map(str.isalpha, ws)) else words_of(t) for t, ws in zip(tokens, parts, strict=True)]
+
+
 def parts_by_size(words: list[str], most: int = 4_000, cells: int = 400_000) -> Iterator[tuple[int, int]]:
     """Bounds of parts of words in order of length: `most` words at most, or fewer so that the padded part stays small."""
     at = 0
@@ -133,7 +160,7 @@ class Model:
 
     def __init__(self, languages: list[str], logs: np.ndarray, pieces: dict[str, int], longest: int, outside: float = OUTSIDE, cached: int = 200_000):
         self.languages, self.logs, self.pieces, self.longest, self.outside, self.cached = languages, logs, pieces, longest, outside, cached
-        self.rows: dict[str, int] = {}
+        self.segments, self.rows = Segments(pieces, longest), {}
         self.values, self.used = np.zeros((0, len(languages) + 1)), np.zeros(0, np.int64)
 
     def trim(self) -> None:
@@ -145,9 +172,10 @@ class Model:
 
     def learn(self, tokens: set[str]) -> None:
         """Caches the sums over each token's words by language, and in a last column the number of its words."""
-        parts = {t: words_of(t) for t in tokens}
+        tokens = list(tokens)
+        parts = dict(zip(tokens, words_of_tokens(tokens), strict=True))
         words = sorted({w for ws in parts.values() for w in ws}, key=len)
-        segments, place, values = Segments(self.pieces, self.longest), {w: i for i, w in enumerate(words)}, [np.zeros((0, len(self.languages)))]
+        segments, place, values = self.segments, {w: i for i, w in enumerate(words)}, [np.zeros((0, len(self.languages)))]
         for i, end in parts_by_size(words):
             values.append(forward(*segments.of(words[i:end]), self.logs, self.outside))
         known = np.concatenate(values)
@@ -262,8 +290,8 @@ def identified(docs: DataFrame, model: Model, text: str = "text", pred: str = "l
             if hasattr(sent, "id"):
                 _models[sent.id] = mine
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
                 langs, scores = mine.predict(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, pred, score])
 
