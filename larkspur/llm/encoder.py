@@ -19,7 +19,9 @@ from tokenizers import Tokenizer
 #: Latin letters that no normalisation form changes, and punctuation that joins no contraction.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"( ?)([{LETTERS}]*)([.,!?;:$%&*#|()\-]*)")
-SPACED, BOUNDARY, SEPARATOR = re.compile(r"\s |\x00"), re.compile(r"(?<=\S)(?= )"), re.compile(r"[\x1c-\x1f]")
+#: A space after white space; a newline beside white space; where units begin for certain, a newline between others being one.
+SPACED, LINED, BOUNDARY = re.compile(r" (?<=\s )"), re.compile(r"\n(?:\s|(?<=\s\n))"), re.compile(r"(?<=\S)(?= |\n\S)|(?<=\S\n)(?=\S)")
+SEPARATOR = re.compile(r"[\x1c-\x1f]")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -30,11 +32,12 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Maps a unit of text to its ids as little-endian unsigned 32-bit integers; holds at most `units` of them."""
+    """Maps a unit of text to its ids as little-endian unsigned 32-bit integers; holds at most `units` of them, those
+    asked for last: when half are here, they go to `before`, and come back from there as they are asked for."""
 
-    def __init__(self, path: str, units: int = 1_000_000):
+    def __init__(self, path: str, units: int = 600_000):
         super().__init__()
-        self.tokenizer, self.units = Tokenizer.from_file(path), units
+        self.tokenizer, self.units, self.before = Tokenizer.from_file(path), units, {}
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.literals = [a.content for a in added]
         self.model, self.table = self.tokenizer.model, byte_alphabet()
@@ -51,27 +54,39 @@ class Encoder(dict):
             self.kind = "whole"
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.units:
+        if len(self) >= self.units // 2:
+            self.before = self.copy()
             self.clear()
+        self[unit] = out = self.before.get(unit) or self.fresh(unit)
+        return out
+
+    def fresh(self, unit: str) -> bytes:
+        """The ids of a unit that is not held."""
         plain = PLAIN.fullmatch(unit) if self.kind != "whole" else None
         if plain is None:
-            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-        else:
-            space, word, marks = plain.groups()
-            if self.kind == "words":
-                pieces = [word.lower(), marks]
-            else:
-                pieces = [space + word, marks] if word else [space + marks]
-            ids = [t.id for p in pieces if p for t in self.model.tokenize(p.replace(" ", self.table[32]) if p.isascii() else p.encode().decode("latin-1").translate(self.table))]
-        self[unit] = out = array("I", ids).tobytes()
-        return out
+            return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        space, word, marks = plain.groups()
+        if word and marks:
+            word = space + word
+            return (self.get(word) or self.before.get(word) or self.piece(word)) + self[marks]
+        return self.piece(unit)
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece that the pre-tokenizer leaves whole."""
+        if self.kind == "words":
+            piece = piece.lower()
+        shown = piece.replace(" ", self.table[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.model.tokenize(shown)] if shown else []).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
         if any(x in text for x in self.literals):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self.kind == "spaced":
-            units = BOUNDARY.split(text) if SPACED.search(text) else text.replace(" ", "\x00 ").split("\x00")
+            if "\x00" in text or SPACED.search(text) or LINED.search(text):
+                units = BOUNDARY.split(text)
+            else:
+                units = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
         elif self.kind == "words" and not SEPARATOR.search(text):
             units = text.split()
         else:
