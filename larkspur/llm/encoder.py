@@ -8,7 +8,6 @@ there as it does everywhere. Tokenizers whose rules are not known here encode wh
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from array import array
@@ -16,6 +15,8 @@ from array import array
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from . import shared
+
 #: Latin letters that no normalisation form changes, and punctuation that joins no contraction.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"( ?)([{LETTERS}]*)([.,!?;:$%&*#|()\-]*)")
@@ -94,7 +95,6 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, units))
 
 
-@functools.lru_cache(2)
 def encoder(name: str) -> Encoder:
     """The encoder of a vocabulary file, given by path or by its name among the public tokenizers."""
-    return Encoder(name if "/" in name else public_tokenizers.path(name))
+    return shared.held(("encoder", name), lambda: Encoder(name if "/" in name else public_tokenizers.path(name)))

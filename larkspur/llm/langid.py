@@ -226,6 +226,7 @@ def trained(labelled: DataFrame, bound: int = 1_500, rounds: int = 3, longest: i
     some = labelled.filter(place < F.element_at(F.create_map(*shares), F.col("lang"))) if shares else labelled
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release()
         found: Counter[tuple[str, str]] = Counter()
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -283,6 +284,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", pred: str = "l
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.pieces, model.longest, model.outside))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release()
         mine = _models.get(sent.id) if hasattr(sent, "id") else None
         if mine is None:
             _models.clear()

@@ -91,6 +91,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_hash (of the whole set) and signature, from columns doc_id, text (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release()
         hashes, (a, b) = WordHashes(), multipliers()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -79,6 +79,23 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python process keeps between tasks: one object, made when it is not there. Another key takes its place, so
+    that what the stages of a pipeline keep does not add up in workers that serve all of them."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drops what is held, for tasks that need it no more."""
+    _held.clear()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as it takes not to be a column of df."""
     while name in df.columns:
