@@ -22,12 +22,12 @@ null doc_id counts as empty text in the fold; an empty table gives an empty resu
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,18 +85,69 @@ def parts_of(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator
                 first, total = i + 1, 0
 
 
-def grams_of(texts: list[bytes]) -> np.ndarray:
-    """Gram of every byte of the texts; before a text stands white space."""
+def ranked(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each code among the distinct ones, and those, ascending; all codes are below size."""
+    if size > max(1 << 24, 4 * len(codes)):
+        found, place = np.unique(codes, return_inverse=True)
+        return place, found
+    there = np.zeros(size, bool)
+    there[codes] = True
+    found, place = np.flatnonzero(there), np.empty(size, np.int32)
+    place[found] = np.arange(len(found), dtype=np.int32)
+    return place[codes], found
+
+
+def runs_of(texts: list[bytes], tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams of all bytes of the texts, turned and in order: the distinct ones, where the run of each begins, and the tag of
+    each one's text (a small number). Before a text stands white space.
+
+    Bytes, then threes and fours of them are numbered in their order, so that a gram and its tag fit one number to sort."""
     far = LENGTHS[-1]
-    data = np.frombuffer(b"".join(b" " * far + t for t in texts), np.uint8)
-    out = np.zeros(len(data), np.uint64)
-    for back in range(far, -1, -1):
-        out <<= np.uint64(8)
-        out[back:] |= data[: len(data) - back]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + far
+    data = np.frombuffer(b"".join(b" " * far + t for t in texts), np.uint8)
     inside = np.ones(len(data), bool)
     inside[((np.cumsum(sizes) - sizes)[:, None] + np.arange(far)).ravel()] = False
-    return out[inside]
+    alphabet = np.flatnonzero(np.bincount(data, minlength=256)).astype(np.uint64)
+    a, numbers = len(alphabet), np.zeros(256, np.uint8)
+    numbers[alphabet.astype(np.int64)] = np.arange(a)
+    symbols = numbers[data]
+    codes = symbols[:-2].astype(np.int32)
+    for i in (1, 2):
+        codes *= a
+        codes += symbols[i : len(data) - 2 + i]
+    three, found = ranked(codes, a**3)  # of bytes i to i + 2
+    threes = alphabet[found // a // a] << np.uint64(16) | alphabet[found // a % a] << np.uint64(8) | alphabet[found % a]
+    kind = np.int32 if len(threes) * a < 1 << 31 else np.int64
+    codes = three[:-1].astype(kind)
+    codes *= a
+    codes += symbols[3:]
+    four, found = ranked(codes, len(threes) * a)  # of bytes i to i + 3
+    fours = threes[found // a] << np.uint64(8) | alphabet[found % a]
+    del codes
+    # a gram ends at byte i: its nearest four are i - 4 to i - 1, its farthest three i - 7 to i - 5
+    near, low = four[far - 4 : -1], three[: len(data) - far].astype(kind)
+    low *= a
+    low += symbols[far:]
+    del four, three
+    bits, width = int(len(threes) * a - 1).bit_length(), int(tags.max(initial=0)).bit_length()
+    codes = near.astype(np.uint64)
+    codes <<= np.uint64(bits)
+    codes |= low.astype(np.uint64)
+    del near, low
+    codes, tags = codes[inside[far:]], np.repeat(tags, sizes - far)
+    if bits + int(len(fours) - 1).bit_length() + width > 64:
+        order = np.argsort(codes)
+        codes, tags = codes[order], tags[order]
+    else:
+        codes <<= np.uint64(width)
+        codes |= tags.astype(np.uint64)
+        codes.sort()
+        tags = (codes & np.uint64((1 << width) - 1)).astype(tags.dtype)
+        codes >>= np.uint64(width)
+    first = np.flatnonzero(first_ones(codes))
+    codes = codes[first]
+    low = (codes & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return fours[(codes >> np.uint64(bits)).astype(np.int64)] << np.uint64(32) | threes[low // a] << np.uint64(8) | alphabet[low % a], first, tags
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -175,16 +226,16 @@ def class_contexts(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def decisions(grams: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def decisions(grams: np.ndarray, n: np.ndarray, chances: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
     """For each bit, of distinct, sorted grams: nodes of class contexts (context * 256 + node) with the log weights of the
-    shortest contexts of bytes below them, and for each gram the probability of its bit below class contexts."""
+    shortest contexts of bytes below them, and, where asked for, for each gram the chance of its bit below class contexts."""
     kt, levels, ups = Kt(), [(grams, n)], []
     for length in LENGTHS[-2::-1]:
         keys, up = np.unique(levels[-1][0] & np.uint64((1 << 8 * (length + 1)) - 1), return_inverse=True)
         levels.append((keys, np.bincount(up, levels[-1][1], len(keys)).astype(np.int64)))
         ups.append(up)
     for bit in range(8):
-        inside = firsts = rows = None
+        inside = firsts = rows = p = None
         for i, (keys, n_of) in enumerate(levels):  # from the longest context
             prefix = keys >> np.uint64(8 - bit)
             first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
@@ -192,16 +243,17 @@ def decisions(grams: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarra
             one = ((keys >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
             b = np.add.reduceat(np.where(one, n_of, 0), first)
             a = np.add.reduceat(n_of, first) - b
-            own, taken = kt(a, b), (np.where(one, b[node], a[node]) + 0.5) / (a[node] + b[node] + 1.0)
+            own, taken = kt(a, b), (np.where(one, b[node], a[node]) + 0.5) / (a + b + 1.0)[node] if chances else None
             if i == 0:
                 inside, p = own, taken
             else:
                 # the nodes of the longer context, each by its first gram, under those of this one
                 below = np.bincount(node[ups[i - 1][firsts]], inside, len(first))
                 inside = np.logaddexp(own, below) - np.log(2)
-                rows = ups[i - 1] if rows is None else ups[i - 1][rows]
-                stay = (1 / (1 + np.exp(np.clip(below - own, -700, 700))))[node][rows]
-                p = stay * taken[rows] + (1 - stay) * p
+                if chances:
+                    rows = ups[i - 1] if rows is None else ups[i - 1][rows]
+                    stay = (1 / (1 + np.exp(np.clip(below - own, -700, 700))))[node][rows]
+                    p = stay * taken[rows] + (1 - stay) * p
             firsts = first
         place = class_contexts(keys[first]) * 256 + (1 << bit) + ((keys[first] & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int64)
         yield bit, place, inside, p
@@ -209,7 +261,7 @@ def decisions(grams: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarra
 
 def packed(values: np.ndarray) -> bytes:
     """Unsigned numbers: how many, then their bytes by significance, compressed."""
-    planes = values.astype(values.dtype.newbyteorder(">")).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+    planes = b"".join((values >> values.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(values.dtype.itemsize - 1, -1, -1))
     return len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
@@ -217,8 +269,12 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
     if not n:
         return np.zeros(0, kind)
-    planes = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(f">u{width}").ravel().astype(kind)
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = planes[0].astype(kind)
+    for plane in planes[1:]:
+        out <<= kind(8)
+        out |= plane
+    return out
 
 
 def packed_text(data: bytes) -> bytes:
@@ -234,12 +290,7 @@ def ascending(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
-def turned(grams: np.ndarray) -> np.ndarray:
-    """Grams with the nearest four bytes first, so that a bucket's are close together; straight() turns them back."""
-    near, far, byte = grams >> np.uint64(8) & np.uint64(0xFFFFFFFF), grams >> np.uint64(40), grams & np.uint64(255)
-    return near << np.uint64(32) | far << np.uint64(8) | byte
-
-
+#: Turned grams have the nearest four bytes first, so that a bucket's are close together; straight() turns them back.
 def straight(keys: np.ndarray) -> np.ndarray:
     near, far, byte = keys >> np.uint64(32), keys >> np.uint64(8) & np.uint64(0xFFFFFF), keys & np.uint64(255)
     return far << np.uint64(40) | near << np.uint64(8) | byte
@@ -260,17 +311,38 @@ def order_of(keys: np.ndarray) -> np.ndarray:
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of turned grams by bucket, ascending in each, and the bounds of the buckets in it."""
-    mixed = (keys >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
-    bucket = (mixed * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    return np.argsort(bucket, kind="stable"), np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
+    """An order of ascending turned grams by bucket, ascending in each, and the bounds of the buckets in it."""
+    near = keys >> np.uint64(32)
+    heads = np.flatnonzero(first_ones(near))
+    bucket = ((near[heads] * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    sizes, turn = np.diff(np.r_[heads, len(keys)]), np.argsort(bucket, kind="stable")
+    after = np.cumsum(sizes[turn])
+    order = np.repeat(heads[turn] - (after - sizes[turn]), sizes[turn]) + np.arange(len(keys))
+    return order, np.r_[0, after][np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]]
 
 
-def words_by_bucket(words: set[bytes], buckets: int) -> list[list[bytes]]:
-    out: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in sorted(words):
-        out[zlib.crc32(w) % buckets].append(w)
-    return out
+def words_of(data: bytes) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """Of words with a space behind each: the distinct ones, the number of each word among them, and where each word ends."""
+    stops = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(np.r_[0, stops]), pa.py_buffer(data)]).dictionary_encode()
+    return words.dictionary, np.frombuffer(words.indices.buffers()[1], np.int32, len(words)), stops
+
+
+def words_of_texts(text: bytes, lengths: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """Of joined normal texts: distinct words and the number of each word, as above, and where the words of each text begin.
+    A text without words has the empty one."""
+    words, at, stops = words_of(text.replace(END, b" "))
+    return words, at, np.searchsorted(stops, np.cumsum(lengths) - lengths, side="right")
+
+
+def words_by_bucket(words: pa.LargeBinaryArray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of distinct words by bucket, without the empty one, and the bounds of the buckets in it."""
+    names = words.buffers()[2].to_pybytes().split(b" ")[:-1]  # several times faster than to_pylist
+    bucket = np.fromiter((zlib.crc32(w) % buckets if w else buckets for w in names), np.int64, len(words))
+    order = np.frombuffer(pc.sort_indices(words).buffers()[1], np.uint64, len(words)).astype(np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    bounds = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets)[:buckets])]
+    return order[: bounds[-1]], bounds
 
 
 def blocks_of(docs: DataFrame, size: int = 1 << 23) -> DataFrame:
@@ -288,9 +360,8 @@ def blocks_of(docs: DataFrame, size: int = 1 << 23) -> DataFrame:
     return docs.mapInArrow(run, "block long, keys array<long>, held array<boolean>, lengths array<long>, text binary")
 
 
-def whole_texts(lengths: list[int], text: bytes) -> list[bytes]:
-    data, ends = unpacked_text(text), np.cumsum(lengths).tolist()
-    return [data[e - n : e] for e, n in zip(ends, lengths, strict=True)]
+def whole_texts(lengths: np.ndarray, text: bytes) -> list[bytes]:
+    return [text[e - n : e] for e, n in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -307,43 +378,48 @@ def asked(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            whole, held = whole_texts(row["lengths"], row["text"]), row["held"]
-            train, times = np.unique(turned(grams_of([t for t, out in zip(whole, held, strict=True) if not out])), return_counts=True)
-            keys = np.sort(np.concatenate([train, turned(grams_of([t for t, out in zip(whole, held, strict=True) if out]))]))
-            keys = keys[first_ones(keys)]
-            n = np.zeros(len(keys), np.uint32)
-            n[np.searchsorted(keys, train)] = times
+            text, lengths, held = unpacked_text(row["text"]), np.array(row["lengths"], np.int64), np.array(row["held"], bool)
+            keys, first, out = runs_of(whole_texts(lengths, text), held.astype(np.uint8))
+            n = np.add.reduceat(1 - out, first, dtype=np.uint32)
+            del first, out
             order, bounds = by_bucket(keys, buckets)
-            keys, n, counts, words = keys[order], n[order], Counter(), set()
-            for t, out in zip(whole, held, strict=True):
-                words.update(t.split()) if out else counts.update(t.split())
-            rows = []
-            for bucket, names in enumerate(words_by_bucket(words | counts.keys(), buckets)):
-                a, b = bounds[bucket], bounds[bucket + 1]
-                if a < b or names:
+            keys, n = keys[order], n[order]
+            del order
+            words, at, begin = words_of_texts(text, lengths)
+            times = np.bincount(at, np.repeat(~held, np.diff(np.r_[begin, len(at)])), len(words)).astype(np.uint64)
+            order, ends = words_by_bucket(words, buckets)
+            words, times, rows = words.take(pa.array(order)), times[order], []
+            names, spans = words.buffers()[2].to_pybytes(), np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+            for bucket in range(buckets):
+                a, b, c, d = *bounds[bucket : bucket + 2], *ends[bucket : bucket + 2]
+                if a < b or c < d:
                     grams = np.diff(keys[a:b], prepend=np.uint64(0))
-                    rows.append({"bucket": bucket, "block": row["block"], "grams": packed(grams), "n": packed(n[a:b]), "words": packed_text(b" ".join(names)), "times": packed(np.array([counts[w] for w in names], np.uint64))})
+                    rows.append({"bucket": bucket, "block": row["block"], "grams": packed(grams), "n": packed(n[a:b]), "words": packed_text(names[spans[c] : spans[d]]), "times": packed(times[c:d])})
             yield pa.RecordBatch.from_pylist(rows, schema=typed)
 
     return blocks.select("block", "held", "lengths", "text").mapInArrow(run, schema)
 
 
-def added_up(questions: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-    """A bucket's distinct grams, turned and ascending, their training counts, and its words with theirs."""
-    keys, n, parts, waiting, words = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, Counter()
+def added_up(questions: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """A bucket's distinct grams, turned and ascending, their training counts, and the places of each question's grams among
+    them; the training counts of its distinct words, and the places of each question's words among those."""
+    keys, parts, waiting = np.zeros(0, np.uint64), [], 0
     for i, q in enumerate(questions):
-        parts.append((ascending(q["grams"]), unpacked(q["n"], np.uint32).astype(np.int64)))
-        waiting += len(parts[-1][0])
-        for w, c in zip(unpacked_text(q["words"]).split(), unpacked(q["times"], np.uint64).tolist(), strict=True):
-            words[w] += c
-        if waiting > max(len(keys), 1 << 21) or i + 1 == len(questions):  # sorted runs, merged when as long as what is there
-            found, times = np.concatenate([keys, *(p[0] for p in parts)]), np.concatenate([n, *(p[1] for p in parts)])
-            order = np.argsort(found, kind="stable")
-            found, times = found[order], times[order]
-            first = np.flatnonzero(first_ones(found))
-            keys, n = found[first], np.add.reduceat(times, first) if len(first) else times
+        parts.append(ascending(q["grams"]))
+        waiting += len(parts[-1])
+        if waiting > max(len(keys), 1 << 21) or i + 1 == len(questions):
+            found = np.concatenate([keys, *parts])
             parts, waiting = [], 0
-    return keys, n, words
+            found.sort()
+            keys = found[first_ones(found)]
+    n, places = np.zeros(len(keys), np.int64), []
+    for q in questions:
+        places.append(np.searchsorted(keys, ascending(q["grams"])).astype(np.int32))
+        n[places[-1]] += unpacked(q["n"], np.uint32)
+    times = [unpacked(q["times"], np.uint64) for q in questions]
+    words, at, _ = words_of(b"".join(unpacked_text(q["words"]) for q in questions))
+    counts = np.bincount(at, np.concatenate(times), len(words)).astype(np.int64)
+    return keys, n, places, counts, np.split(at, np.cumsum([len(x) for x in times])[:-1])
 
 
 def in_order(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,8 +434,8 @@ def model_of(questions: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            keys, n, words = added_up(row["questions"])
-            totals = [sum(c > 0 for c in words.values()), sum(words.values())]
+            keys, n, _, counts, _ = added_up(row["questions"])
+            totals = [int((counts > 0).sum()), int(counts.sum())]
             yield pa.RecordBatch.from_pydict({"cell": pa.array([-1, -2], pa.int32()), "n": pa.array(totals, pa.int64()), "deeper": pa.array([0.0, 0.0])})
             if not len(keys):
                 continue
@@ -368,7 +444,7 @@ def model_of(questions: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int,
             counts = np.bincount(at * 256 + (grams & np.uint64(255)).astype(np.int64), n)
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"cell": pa.array((names[used // 256] * 256 + used % 256).astype(np.int32)), "n": pa.array(counts[used].astype(np.int64)), "deeper": pa.array(np.zeros(len(used)))})
-            for _, place, inside, _ in decisions(grams, n):
+            for _, place, inside, _ in decisions(grams, n, chances=False):
                 cell, at = np.unique(place, return_inverse=True)
                 yield pa.RecordBatch.from_pydict({"cell": pa.array(cell.astype(np.int32)), "n": pa.array(np.zeros(len(cell), np.int64)), "deeper": pa.array(np.bincount(at, inside, len(cell)))})
 
@@ -391,7 +467,7 @@ def answers_of(questions: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, values = sent.value
         for row in rows_of(batches):
-            keys, n, words = added_up(row["questions"])
+            keys, n, places, counts, words = added_up(row["questions"])
             steps = np.zeros(len(keys), np.uint32)
             if len(keys):
                 grams, n, order = in_order(keys, n)
@@ -400,10 +476,8 @@ def answers_of(questions: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Da
                     top, taken = values[np.searchsorted(cell, context + (1 << bit) + (byte >> (8 - bit)))], byte >> (7 - bit) & 1
                     logs += np.log10(np.where(taken == 1, top[:, 1], top[:, 0]) + top[:, 2].astype(np.float64) * p)
                 steps[order] = np.rint(np.maximum(-logs, 0.0) * STEPS)
-            for q in row["questions"]:
-                logs = packed(steps[np.searchsorted(keys, ascending(q["grams"]))])
-                counts = np.array([words[w] for w in unpacked_text(q["words"]).split()], np.uint64)
-                yield pa.RecordBatch.from_pylist([{"block": q["block"], "bucket": row["bucket"], "logs": logs, "counts": packed(counts)}], schema=typed)
+            for q, at, names in zip(row["questions"], places, words, strict=True):
+                yield pa.RecordBatch.from_pylist([{"block": q["block"], "bucket": row["bucket"], "logs": packed(steps[at]), "counts": packed(counts[names].astype(np.uint64))}], schema=typed)
 
     return questions.mapInArrow(run, "block long, bucket int, logs binary, counts binary")
 
@@ -413,28 +487,19 @@ def sums_of(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
 
     def run(block: pa.Table, answered: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        whole, by_number = whole_texts(row["lengths"], row["text"]), {a["bucket"]: a for a in answered.to_pylist()}
-        grams = turned(grams_of(whole))
-        order = order_of(grams)
-        keys = grams[order]
-        first, place = first_ones(keys), np.empty(len(grams), np.int32)
-        keys, place[order] = keys[first], np.cumsum(first, dtype=np.int32) - 1
-        del grams, first
-        order, _ = by_bucket(keys, buckets)
-        logs = np.zeros(len(keys))
-        logs[order] = np.concatenate([unpacked(by_number[i]["logs"], np.uint32) for i in sorted(by_number)]) / -STEPS
-        lengths = np.array(row["lengths"], np.int64)
-        score = np.add.reduceat(logs[place], np.cumsum(lengths) - lengths)  # every text has its end, so none is empty
-        del keys, place, order, logs
-        split = [t.split() for t in whole]
-        count_of = {}
-        for i, names in enumerate(words_by_bucket(set().union(*split), buckets)):
-            if names:
-                count_of.update(zip(names, unpacked(by_number[i]["counts"], np.uint64).tolist(), strict=True))
-        counts = [np.fromiter(map(count_of.__getitem__, words), np.float64, len(words)) for words in split]
+        text, lengths, replies = unpacked_text(row["text"]), np.array(row["lengths"], np.int64), sorted(answered.to_pylist(), key=lambda a: a["bucket"])
+        keys, first, number = runs_of(whole_texts(lengths, text), np.arange(len(lengths), dtype=np.int32))
+        order, logs = by_bucket(keys, buckets)[0], np.empty(len(keys))
+        logs[order] = np.concatenate([unpacked(a["logs"], np.uint32) for a in replies])
+        logs = np.repeat(logs, np.diff(np.r_[first, len(number)]))
+        score = np.bincount(number, logs, len(lengths)) / -STEPS  # sums of whole numbers
+        del keys, first, number, order, logs
+        words, at, begin = words_of_texts(text, lengths)
+        order, counts = words_by_bucket(words, buckets)[0], np.zeros(len(words))  # the empty word stays at 0
+        counts[order] = np.concatenate([unpacked(a["counts"], np.uint64) for a in replies])
         return pa.table({
-            "key": pa.array(row["keys"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array([len(w) + 1 for w in split], pa.int64()),
-            "known": pa.array([int((c > 0).sum()) for c in counts], pa.int64()), "base": pa.array([float(np.log10(c + 1).sum()) for c in counts]), "score": pa.array(score)})
+            "key": pa.array(row["keys"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(np.diff(np.r_[begin, len(at)]) + (lengths > 1)),
+            "known": pa.array(np.add.reduceat(counts[at] > 0, begin, dtype=np.int64)), "base": pa.array(np.add.reduceat(np.log10(counts + 1)[at], begin)), "score": pa.array(score)})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "key long, held_out boolean, n_tokens long, known long, base double, score double")
 
