@@ -20,12 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
+MB_OF_TEXT = 8
+
 
 def priced(sizes: np.ndarray, value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: the most valuable pattern in `room` units, as how often it takes each of the (rising) sizes."""
@@ -162,6 +165,16 @@ def plan(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
     return min(simple, out, key=lambda p: sum(n for _, n in p))
 
 
+def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First rows and rows past the last of parts of as many texts as MB_OF_TEXT holds, at least one."""
+    ends, at = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)), dtype=np.int64), 0
+    while at < len(ends):
+        begin = ends[at - 1] if at else 0
+        past = max(at + 1, int(np.searchsorted(ends, begin + MB_OF_TEXT * 1_000_000, "right")))
+        yield at, past
+        at = past
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, length: int, fine: int, step: int, text: str) -> DataFrame:
     """Each document's ids, task, width of its rest, number among its task's documents of that width, and full sequences
     before it there."""
@@ -169,16 +182,16 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, length: int, fine: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .encoder import encoder
 
-        encode, end, task = encoder(tokenizer).encode, array("I", [end_id]).tobytes(), TaskContext.get().partitionId()
+        encode, end, task = encoder(tokenizer).encode_each, array("I", [end_id]).tobytes(), TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         full = 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
+            for at, past in parts(whole.column(1)):
+                batch = whole.slice(at, past - at)
+                ids = encode(batch.column(1), end)
+                tokens = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
                 ranks, classes, before = [], [], []
-                for data in ids:
-                    n = len(data) // 4
+                for n in tokens.to_pylist():
                     kind = n % length if n % length <= fine else min(length, -(-(n % length) // step) * step)
                     classes.append(kind)
                     ranks.append(seen[kind])
@@ -186,7 +199,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, length: int, fine: int
                     seen[kind] += 1
                     full += n // length
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([task] * len(ids), pa.int64()), pa.array(classes, pa.int64()), pa.array(ranks, pa.int64()), pa.array(before, pa.int64())],
+                    [batch.column(0), ids, tokens, pa.array([task] * len(ids), pa.int64()), pa.array(classes, pa.int64()), pa.array(ranks, pa.int64()), pa.array(before, pa.int64())],
                     ["doc_id", "ids", "doc_tokens", "task", "class", "rank", "full_before"],
                 )
 
